@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, one_form, packing, ranking, splitting
+from . import bpe, entries, one_form, packing, ranking, residue, splitting
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,22 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.best_scores(_read(spark, sf_dir, "resume_scores"), _read(spark, sf_dir, "ranking_sessions"), 10)
 
 
+def p2_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each typed skill with the skill of the taxonomy that it means."""
+    return entries.map_values(_read(spark, sf_dir, "jd_criteria"), "criteria_id", ["must_have_skills", "nice_to_have_skills"], _read(spark, sf_dir, "skill_taxonomy"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those that aren't equal to a canonical name."""
+    names = F.broadcast(_read(spark, sf_dir, "skill_taxonomy").select(F.col("canonical").alias("value")))  # a fixed list, refused by map_values if large
+    return p2_mapped(spark, sf_dir).join(names, "value", "left_anti").select("criteria_id", "field_name", "pos", "skill_id")
+
+
+def p2_unlisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that mean no skill of the taxonomy, for whoever keeps it."""
+    return entries.unlisted(p2_mapped(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """String values that aren't in the consistent form."""
     return one_form.consistent_values(_read(spark, sf_dir, "resumes")).select("resume_id", "path")
@@ -48,7 +65,17 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p3_values, p5_found, p5_pieces, p7_ids, p8_containers)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are or hold leftovers of templates, filler, error pages or script notices."""
+    return residue.residue(_read(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without those."""
+    return residue.without_residue(_read(spark, sf_dir, "documents")).select("doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_mapped, p2_unlisted, p3_found, p3_values, p5_found, p5_pieces, p7_ids, p8_containers, p9_found, p9_kept)}
 
 SQL: dict[str, str] = {
     "p1_found": """
