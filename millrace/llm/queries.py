@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, entries, one_form, packing, ranking, residue, splitting
+from . import bpe, entries, one_form, packing, pii, ranking, residue, splitting
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,16 @@ def p3_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_form.consistent_values(_read(spark, sf_dir, "resumes"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each piece of personal information in the resumes' texts."""
+    return pii.personal_information(_read(spark, sf_dir, "resumes")).select("resume_id", "json_column", "path", "kind", "start_pos")
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that hold some, with placeholders."""
+    return pii.personal_information(_read(spark, sf_dir, "resumes")).select("resume_id", "json_column", "path", F.col("placeholder_text").alias("text")).distinct()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """String values longer than 2,000 characters: those that come out as pieces."""
     return p5_pieces(spark, sf_dir).filter("piece = 0").select("item_kind", "item_key", "path")
@@ -75,7 +85,7 @@ def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(_read(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_mapped, p2_unlisted, p3_found, p3_values, p5_found, p5_pieces, p7_ids, p8_containers, p9_found, p9_kept)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_mapped, p2_unlisted, p3_found, p3_values, p4_found, p4_redacted, p5_found, p5_pieces, p7_ids, p8_containers, p9_found, p9_kept)}
 
 SQL: dict[str, str] = {
     "p1_found": """
