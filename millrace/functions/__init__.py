@@ -1 +1 @@
-"""See the package documentation in README.md."""
+"""Column -> Column functions, all built-in expressions: they stay inside the JVM and inside generated code."""
