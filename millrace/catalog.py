@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import packed, ranking, texts
+from .plans import packed, ranking, skills, texts
 
-MODULES = (packed, ranking, texts)
+MODULES = (packed, ranking, skills, texts)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 for _module in MODULES:

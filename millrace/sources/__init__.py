@@ -1 +1 @@
-"""See the package documentation in README.md."""
+"""Readers of tables and of JSON and configuration columns."""
