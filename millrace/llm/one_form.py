@@ -106,7 +106,7 @@ def one_form(table: pa.Table, column: str) -> pa.Table:
     con = _duck()
     con.register("arrow_partition", table)
     try:
-        return con.execute(one_form_sql(column, "arrow_partition")).to_arrow_table()
+        return con.sql(one_form_sql(column, "arrow_partition")).to_arrow_table()
     finally:
         con.unregister("arrow_partition")
 
