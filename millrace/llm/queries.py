@@ -52,7 +52,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts that hold some, with placeholders."""
-    return pii.personal_information(_read(spark, sf_dir, "resumes")).select("resume_id", "json_column", "path", F.col("placeholder_text").alias("text")).distinct()
+    return pii.redacted_texts(_read(spark, sf_dir, "resumes"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
