@@ -1 +1 @@
-"""See the package documentation in README.md."""
+"""Extensions over streams; the batch operators apply to static frames."""
