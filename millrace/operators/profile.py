@@ -34,15 +34,12 @@ def pattern(words: str) -> str:
 
 
 def hits(text: Column, words: str) -> Column:
-    """How many of the text's words are among the words; phrases of two words are counted as well."""
-    single = [w for w in words.split() if "_" not in w]
-    double = [w.replace("_", " ") for w in words.split() if "_" in w]
-    parts = F.split(F.lower(text), "[^a-z0-9_]+")
-    n = F.size(F.filter(parts, lambda w: w.isin(*single))) if single else F.lit(0)
-    if double:
-        pairs = F.zip_with(parts, F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-        n = n + F.size(F.filter(pairs, lambda w: w.isin(*double)))
-    return F.coalesce(n, F.lit(0))
+    """How many words of the text are among the words; phrases of two words are counted as well."""
+    low = F.lower(text)
+    single = "|".join(w for w in words.split() if "_" not in w)
+    double = "|".join(w.replace("_", "[^a-z0-9_]+") for w in words.split() if "_" in w)
+    n = F.regexp_count(low, F.lit(rf"(?<![a-z0-9_])(?:{single})(?![a-z0-9_])"))
+    return F.coalesce(n + F.regexp_count(low, F.lit(rf"(?<![a-z0-9_])(?:{double})(?![a-z0-9_])")) if double else n, F.lit(0))
 
 
 def first_of(counts: Mapping[str, Column]) -> Column:
@@ -54,11 +51,18 @@ def first_of(counts: Mapping[str, Column]) -> Column:
     return F.when(best > 0, out)
 
 
-def seniority(text: Column, n_roles: Column) -> Column:
-    """The level most told of; by the number of roles if none is; then raised where many roles contradict it."""
-    told = first_of({k: hits(text, v) for k, v in LEVELS.items()})
-    base = F.coalesce(told, F.when(n_roles == 0, "intern").when(n_roles <= 2, "junior").when(n_roles <= 4, "mid").otherwise("senior"))
-    return F.when((base == "intern") & (n_roles > 1), "junior").when((base == "junior") & (n_roles > 3), "mid").when((base == "mid") & (n_roles > 5), "senior").otherwise(base)
+def seniority(df: DataFrame, text: str, n_roles: str, name: str = "level") -> DataFrame:
+    """df with the level most told of; by the number of roles if none is; then raised where many roles contradict it.
+
+    The counts are columns of their own, so that each is taken once a row.
+    """
+    n = F.col(n_roles)
+    counted = df.withColumns({f"_{k}": hits(F.col(text), v) for k, v in LEVELS.items()})
+    told = first_of({k: F.col(f"_{k}") for k in LEVELS})
+    counted = counted.withColumn("_base", F.coalesce(told, F.when(n == 0, "intern").when(n <= 2, "junior").when(n <= 4, "mid").otherwise("senior")))
+    base = F.col("_base")
+    level = F.when((base == "intern") & (n > 1), "junior").when((base == "junior") & (n > 3), "mid").when((base == "mid") & (n > 5), "senior").otherwise(base)
+    return counted.withColumn(name, level).drop("_base", *[f"_{k}" for k in LEVELS])
 
 
 def title_level(title: Column) -> Column:
@@ -78,19 +82,21 @@ def progression(roles: DataFrame, key: str) -> DataFrame:
     return out.withColumn("trend", trend).withColumn("velocity", F.round(F.col("promotions") / (2 * F.col("n_roles")), 6))
 
 
-def specialization(text: Column) -> Column:
-    """struct(primary, kind, confidence, signals): the specialization most told of, if told often enough and beside another."""
-    counts = {k: hits(text, v) for k, v in SPECIALIZATIONS.items()}
+def specialization(df: DataFrame, text: str) -> DataFrame:
+    """df with primary, kind, confidence, signals: the specialization most told of, if told often enough and beside another."""
+    counted = df.withColumns({f"_{k}": hits(F.col(text), v) for k, v in SPECIALIZATIONS.items()})
+    counts = {k: F.col(f"_{k}") for k in SPECIALIZATIONS}
     top, total = F.greatest(*counts.values()), sum(counts.values(), F.lit(0))
     signals = sum((F.when(n > 0, 1).otherwise(0) for n in counts.values()), F.lit(0))
     confidence = F.least(top / F.lit(5.0), F.lit(1.0))
     enough = (confidence >= 0.5) & (signals >= 2)
-    return F.struct(
-        F.when(enough, first_of(counts)).alias("primary"),
-        F.when(~enough, "unknown").when(top / total > 0.6, "specialist").otherwise("generalist").alias("kind"),
-        F.when(enough, confidence).otherwise(F.lit(0.0)).alias("confidence"),
-        signals.alias("signals"),
-    )
+    out = {
+        "primary": F.when(enough, first_of(counts)),
+        "kind": F.when(~enough, "unknown").when(top / total > 0.6, "specialist").otherwise("generalist"),
+        "confidence": F.when(enough, confidence).otherwise(F.lit(0.0)),
+        "signals": signals,
+    }
+    return counted.withColumns(out).drop(*[f"_{k}" for k in SPECIALIZATIONS])
 
 
 def leadership(roles: DataFrame, key: str) -> DataFrame:

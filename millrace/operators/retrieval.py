@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import written
 
 K1, B, FUSION = 1.5, 0.75, 60
 
@@ -33,8 +34,13 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = K1, b: fl
     terms = _query_terms(query)
     if not terms:
         return docs.select(key, F.lit(0.0).alias("bm25"))
-    words = docs.select(F.col(key), F.coalesce(T.tokens(F.col(text)), F.array().cast("array<string>")).alias("ws"))
-    counted = words.select(key, F.size("ws").alias("length"), *[_times(t).alias(f"tf{i}") for i, (t, _) in enumerate(terms)])
+    words = docs.select(F.col(key), F.coalesce(T.tokens(F.col(text)), F.array().cast("array<string>")).alias("all"))
+    words = words.select(key, F.size("all").alias("length"), F.filter("all", lambda x: x.isin([t for t, _ in terms])).alias("ws"))
+    return _bm25(words, key, terms, k1, b, digits)
+
+
+def _bm25(words: DataFrame, key: str, terms: list[tuple[str, int]], k1: float, b: float, digits: int) -> DataFrame:
+    counted = words.select(key, "length", *[_times(t).alias(f"tf{i}") for i, (t, _) in enumerate(terms)])
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     joined = counted.crossJoin(F.broadcast(stats))  # one row
     norm = k1 * (1 - b + b * F.col("length") / F.when(F.col("mean") > 0, F.col("mean")).otherwise(F.lit(1.0)))
@@ -57,6 +63,11 @@ def _query_terms(query: str) -> list[tuple[str, int]]:
     return sorted(Counter(re.findall("[a-z0-9]+", query.lower())).items())
 
 
+def both_scores(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
+    """(key, bm25, dense), written once: every ranking below reads it several times, and the texts must be read but once."""
+    return written(bm25(docs, key, text, query).join(coverage_score(docs, key, text, query), key), "scores")
+
+
 def coverage_score(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
     """(key, dense): the share of the query's distinct terms that a text holds; the stand-in where no encoder is given."""
     terms = F.array(*[F.lit(t) for t, _ in _query_terms(query)]) if _query_terms(query) else F.array().cast("array<string>")
@@ -74,6 +85,7 @@ def ranked(scores: DataFrame, score: str, key: str, name: str = "pos", partition
         return scores.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(F.col(score).desc(), F.col(key))) - 1)
     ordered = scores.repartitionByRange(F.col(score).desc(), F.col(key)).sortWithinPartitions(F.col(score).desc(), F.col(key))
     numbered = ordered.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33))
+    numbered = written(numbered, "ranked")  # the counts and the rows must come from one and the same partitioning
     sizes = numbered.groupBy("_p").agg((F.max("_i") + 1).alias("_n"))
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
     return numbered.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")
@@ -102,7 +114,7 @@ def hybrid_rank(docs: DataFrame, key: str, text: str, query: str, top_k: int = 1
     isn't re-scored keeps the scaled fusion score, and both tiers are sorted together. Without a pair scorer given, the
     share of query terms covered, through a logistic curve, stands in.
     """
-    both = bm25(docs, key, text, query).join(coverage_score(docs, key, text, query), key)
+    both = both_scores(docs, key, text, query)
     scaled = min_max(fused(both, key, ["bm25", "dense"]), "rrf", "rrf_norm")
     top = scaled.orderBy(F.col("rrf").desc(), F.col(key)).limit(top_k).select(key, F.lit(True).alias("_top"))
     scored = scaled.join(F.broadcast(top), key, "left")

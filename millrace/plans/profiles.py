@@ -19,7 +19,7 @@ def seniority(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = S.resumes(spark, sf_dir, "experience", "education")
     told = _text(F.array_join("experience.title", " "), F.array_join("experience.company", " "), F.array_join(F.flatten("experience.bullets"), " "), F.array_join("education.degree", " "))
     n = F.coalesce(F.size("experience"), F.lit(0))
-    return r.select("resume_id", n.alias("n_roles"), P.seniority(told, n).alias("level"))
+    return P.seniority(r.select("resume_id", n.alias("n_roles"), told.alias("told")), "told", "n_roles").select("resume_id", "n_roles", "level")
 
 
 def career_progression(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def specialization(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each resume specializes in."""
     r = S.resumes(spark, sf_dir, "experience", "projects", "skills")
     told = _text(F.array_join("experience.title", " "), F.array_join(F.flatten("experience.bullets"), " "), F.array_join("projects.summary", " "), F.array_join("skills.skill", " "))
-    return r.select("resume_id", P.specialization(told).alias("s")).select("resume_id", "s.*")
+    return P.specialization(r.select("resume_id", told.alias("told")), "told").drop("told")
 
 
 def leadership_team_size(spark: SparkSession, sf_dir: str) -> DataFrame:

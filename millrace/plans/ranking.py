@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..session import spread, written
 
 #: The requirement text of these queries; an engine's caller passes their own.
 REQUIREMENT = "Senior engineer for intake pipeline and reporting mart; solid grounding in payload signing, queue depth tuning and cache eviction planning, payload signing on call rota"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +28,8 @@ def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score against the requirement and its position."""
-    return R.ranked(R.bm25(_docs(spark, sf_dir), "doc_id", "text", REQUIREMENT), "bm25", "doc_id")
+    scores = R.bm25(_docs(spark, sf_dir), "doc_id", "text", REQUIREMENT)
+    return R.ranked(written(scores, "bm25"), "bm25", "doc_id")
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical and coverage rankings fused, scaled to [0, 1]."""
     docs = _docs(spark, sf_dir)
-    both = R.bm25(docs, "doc_id", "text", REQUIREMENT).join(R.coverage_score(docs, "doc_id", "text", REQUIREMENT), "doc_id")
+    both = R.both_scores(docs, "doc_id", "text", REQUIREMENT)
     return R.min_max(R.fused(both, "doc_id", ["bm25", "dense"]), "rrf", "rrf_norm").select("doc_id", "rrf", "rrf_norm")
 
 
@@ -55,7 +57,7 @@ def cosine_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_by_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each posting, the resumes that hold its title's terms, scored by idf, the ten best each: many requirements at once by an equi-join on terms."""
-    resumes = spark.read.parquet(f"{sf_dir}/resumes.parquet").select("resume_id", "parsed_data_json")
+    resumes = spread(spark.read.parquet(f"{sf_dir}/resumes.parquet").select("resume_id", "parsed_data_json"))
     jobs = spark.read.parquet(f"{sf_dir}/job_postings.parquet").filter("title IS NOT NULL").select("job_id", "title")
     tf = R.term_frequencies(resumes, "resume_id", "parsed_data_json")
     n = resumes.agg(F.count("*").alias("n"))

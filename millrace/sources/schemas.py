@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 PARSED = (
     "experience array<struct<title:string,company:string,dates:string,description:string,bullets:array<string>>>, education array<struct<degree:string,school:string,year:string>>, "
     "projects array<struct<name:string,summary:string,technologies:array<string>>>, skills array<struct<skill:string>>, misc string, raw_text string"
@@ -19,7 +21,7 @@ def json_or_empty(column: str, schema: str) -> Column:
 
 def resumes(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
     """resume_id, candidate_id and the given fields of parsed_data_json. Fields not asked for aren't parsed."""
-    df = spark.read.parquet(f"{sf_dir}/resumes.parquet")
+    df = spread(spark.read.parquet(f"{sf_dir}/resumes.parquet").select("resume_id", "candidate_id", "parsed_data_json"))
     parsed = df.select("resume_id", "candidate_id", json_or_empty("parsed_data_json", PARSED).alias("p"))
     return parsed.select("resume_id", "candidate_id", *[F.col(f"p.{f}").alias(f) for f in fields])
 
@@ -30,7 +32,8 @@ def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "job_postings") else df  # texts, on which the work is
 
 
 def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
