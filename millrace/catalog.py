@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import cohorts, narratives, packed, profiles, ranking, skills, texts
+from .plans import cohorts, extractions, narratives, packed, profiles, ranking, skills, texts
 
-MODULES = (cohorts, narratives, packed, profiles, ranking, skills, texts)
+MODULES = (cohorts, extractions, narratives, packed, profiles, ranking, skills, texts)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 for _module in MODULES:
