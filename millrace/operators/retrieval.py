@@ -27,9 +27,8 @@ def document_frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = K1, b: float = B, digits: int = 9) -> DataFrame:
     """(key, bm25) of every text against one query; a term repeated in the query counts each time. Texts without a match score 0.
 
-    idf = ln((n - df + 0.5) / (df + 0.5) + 1). Two narrow passes over the texts and no join: the query's terms are a literal, each
-    text's counts of them an array, and the collection's statistics one small row that is cross-joined back. Only those
-    statistics are shuffled.
+    idf = ln((n - df + 0.5) / (df + 0.5) + 1). Narrow passes over the texts: only the words that the query has are kept, and the
+    collection's statistics are one small row that is cross-joined back. Only those statistics are shuffled.
     """
     terms = _query_terms(query)
     if not terms:
@@ -40,20 +39,20 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = K1, b: fl
 
 
 def _bm25(words: DataFrame, key: str, terms: list[tuple[str, int]], k1: float, b: float, digits: int) -> DataFrame:
-    counted = words.select(key, "length", *[_times(t).alias(f"tf{i}") for i, (t, _) in enumerate(terms)])
-    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
-    joined = counted.crossJoin(F.broadcast(stats))  # one row
+    """words: key, length, ws (the text's words that the query has too). One row of statistics is joined back; texts aren't shuffled."""
+    size = words.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    held = words.select(F.explode(F.array_distinct("ws")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))  # at most the query's terms
+    df = held.agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("df"))
+    joined = words.crossJoin(F.broadcast(size)).crossJoin(F.broadcast(df))
     norm = k1 * (1 - b + b * F.col("length") / F.when(F.col("mean") > 0, F.col("mean")).otherwise(F.lit(1.0)))
-    score: Column = F.lit(0.0)
-    for i, (_, times) in enumerate(terms):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1)
-        score = score + F.when(tf > 0, times * idf * tf * (k1 + 1) / (tf + norm)).otherwise(F.lit(0.0))
-    return joined.select(key, F.round(score, digits).alias("bm25"))
+    times = F.create_map(*[F.lit(x) for t in terms for x in t])
 
+    def add(total: Column, term: Column) -> Column:
+        tf, n = F.size(F.filter("ws", lambda x: x == term)), F.col("df")[term]
+        return total + times[term] * F.log((F.col("n") - n + 0.5) / (n + 0.5) + 1) * tf * (k1 + 1) / (tf + F.col("norm"))
 
-def _times(term: str) -> Column:
-    return F.size(F.filter("ws", lambda x: x == term))
+    score = F.aggregate(F.array_distinct("ws"), F.lit(0.0), add)
+    return joined.withColumn("norm", norm).select(key, F.round(score, digits).alias("bm25"))
 
 
 def _query_terms(query: str) -> list[tuple[str, int]]:
