@@ -135,7 +135,7 @@ def messages(text: str) -> Iterator[str]:
     """The messages of a text: lines and sentences, with page furniture cut off where it runs into them."""
     for m in _LINE.finditer(text):
         line = m.group()
-        for part in _FURNITURE_INSIDE.sub(r"\n\1\n", line).split("\n") if len(line) < 2000 or _FURNITURE_INSIDE.search(line, 0, 2000) else (line,):
+        for part in _FURNITURE_INSIDE.sub(r"\n\1\n", line).split("\n"):
             a = 0
             for cut in _SENTENCE.finditer(part):
                 if (message := part[a : cut.start()].strip()):

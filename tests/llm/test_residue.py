@@ -25,6 +25,14 @@ def test_pages(text):
     assert page_verdict(text, TemplateTree()) == PAGES[text]
 
 
+def test_late_furniture_on_a_long_line():
+    for end in ("Back to search results", "Imprint · Privacy"):
+        for n in (10, 400):
+            assert page_verdict("Lorem ipsum dolor sit amet. " * n + "asdf asdf dolor sit " + end, TemplateTree()) == "filler"
+            assert page_verdict("Lorem ipsum dolor sit amet. " * n + "Qwv zzkt brfm plonk " + end, TemplateTree()) is None
+            assert page_verdict("Lorem ipsum dolor sit amet. " * n + "Cras sed quam vel lor " + end, TemplateTree()) == "filler"
+
+
 def test_verdict_does_not_depend_on_order():
     a, b = TemplateTree(), TemplateTree(most=3)
     texts = list(PAGES)
