@@ -42,8 +42,8 @@ _LATIN = re.compile(r"(?:am|at|aven|con|cras|cum|dol|dolor|duis|eros|est|et|fer|
 _KINDS = [(k, re.compile("|".join(p))) for k, p in (("error", ERROR), ("script", SCRIPT), ("filler", FILLER))]
 _AUX, _FURNITURE = re.compile("|".join(AUX)), re.compile(rf"\W*(?:{'|'.join(FURNITURE)})\W*")
 _EVIDENCE = {w for p in (*ERROR, *SCRIPT, *FILLER, *AUX, *FURNITURE) for w in re.findall(r"[^\W\d_]{2,}", re.sub(r"\\[a-zA-Z]", " ", p))}
-#: A sentence that tells of work starts with a verb of the past, or speaks of the making of such things.
-_TOLD = re.compile(r"(?i)^[\W\d_]*(?:(?!(?:signed|located|required|dated|based|attached|enclosed|need|red|bed)\b)[a-z]+ed|wrote|built|led|ran|kept|taught|cut|set|held|made|drew|gave|took|found|won|spoke|sent|brought|put|rebuilt|rewrote|nickname|our error budget)\b(?![,:])|\b(?:mail merge|templates? (?:where|that|with|for)|resolved at|applicant record|rest route|generics|fallbacks|build scripts|answers fell|journals)\b")
+#: A message that tells of somebody's work starts with a verb of the past, but for those that tell of a fault or come in forms.
+_TOLD = re.compile(r"(?i)^[\W\d_]*(?:(?!(?:signed|located|required|dated|based|attached|enclosed|need|red|bed|failed|expired|timed|denied|blocked|disconnected|aborted|forbidden)\b)[a-z]+ed|wrote|built|led|ran|kept|taught|cut|set|held|made|drew|gave|took|found|won|spoke|sent|brought|put|rebuilt|rewrote)\b(?![,:])")
 _LINE = re.compile(r"[^\n\r\f\v\x85\u2028\u2029]+")
 _SENTENCE = re.compile(r"(?<=[.!?])(?<!\b[A-Za-z]\.)[\"'”’)]?\s+(?=\S)|(?<=[。！？])")
 _FURNITURE_INSIDE = re.compile(r"(?i)(skip to main content|menu  ?login  ?help|home \| jobs \| about|imprint · privacy|back to search results|(?<=talent portal)(?= )|(?<=\s)(?=© ?\d{4}))")
@@ -171,10 +171,28 @@ _SLOTS = re.compile(
 _SIGNS = ("[", "{", "<", "«", "【", "~~", "%%", "__", "@@", "*|", "&lt;", "XX", "TODO")
 _NAMED_SIGNS = re.compile(r"[$#%][A-Za-z_]")
 _WORDS = (" here", "name surname", "month year", "to add", "(your ", "(enter ", "(insert ", "(add ", "(type ", "(choose ", "(ihr", "(votre ", "(tu ", "(su ", "(seu ", "(sua ")
+#: What tells of a slot right before it: a verb of filling in, in the present, or a word for slots. In a clause of time or place, what becomes of it tells, right behind.
+_NOUN = "(?:placeholder|token|tag|variable|marker|macro|(?:merge|template) field|slot|wildcard)s?"
+_TOLD_BEFORE = re.compile(rf"(?i)\b(?:(?:fills?(?: in)?|renders?|rendering|substitut(?:es?|ing)|interpolat(?:es?|ing)|escapes?)(?: the| each| every| all)?|{_NOUN}(?:,? (?:like|such as|called|named|of the form))?)\b[ \"'`“‘(]*$")
+_TOLD_AFTER = re.compile(rf"(?i)[\"'`”’)]* {_NOUN}\b")
+_CLAUSE, _BECOMES = re.compile(r"(?i)\b(?:where|when|how|until|before|after|if)(?: the| a| an)?\b[ \"'`“‘(]*$"), re.compile(r"(?i)[\"'`”’)]* (?:is|are|gets?) (?:\w+ly |then |always )?(?:filled|rendered|resolved|substituted|replaced|expanded|populated|interpolated|parsed|escaped|inserted)\b")
+_JOINED, _JOINS = re.compile(r"\x00[\"'`”’)]*(?:, and|, or|,| and| or)[ \"'`“‘(]*$"), re.compile(r"^[\"'`”’)]*(?:, and|, or|,| and| or)[ \"'`“‘(]*\x00")
+#: Names with two underscores on each side that have a meaning in code.
+_DUNDER = re.compile("__(?:init|main|new|call|repr|str|len|iter|next|enter|exit|eq|hash|dict|slots|all|doc|del|file|future|version|class|module|getattr|setattr|getitem|setitem|pycache)__")
 _MARKUP = re.compile(r"(?i)</?(?:noscript|script|style|div|p|br|span|a|b|i|em|strong|ul|ol|li|table|tr|td|th|html|body|head|iframe|img|h\d|pre|code|input|form|main|nav|header|footer)\b")
 _REDACTED = re.compile(r"(?i)\[(?:e-?mail|phone|tel|redacted|removed|url|link|address|name|id|id_number|masked|deleted|withheld|censored|pii|anonymi[sz]ed|geschwärzt|sic|internal|external|confidential|\W|\d|…|\.\.\.)[^\[\]a-z]{0,12}\]")
 
 
+def _told(before: str, after: str) -> bool:
+    """Whether a sentence only tells of the slot between these two parts of it: by what stands next to it and the slots joined to it."""
+    before, after = _SLOTS.sub("\x00", before), _SLOTS.sub("\x00", after)
+    while _JOINED.search(before):
+        before = _JOINED.sub("", before)
+    while _JOINS.match(after):
+        after = _JOINS.sub("", after)
+    return bool(_TOLD_BEFORE.search(before) or _TOLD_AFTER.match(after) or _CLAUSE.search(before) and _BECOMES.match(after))
+
+
 def unfilled_slot(text: str) -> str | None:
     """The first slot in the text that waits for a value; None if there is none. Slots that a sentence only tells of, markup,
     citations, code, paths and redaction marks are none."""
@@ -188,7 +206,7 @@ def unfilled_slot(text: str) -> str | None:
         b = min((x for x in (text.find("\n", m.end()), text.find("\r", m.end())) if x >= 0), default=len(text))
         cut = [x.end() for x in re.finditer(r"[.!?。]\s+", text[a : m.start()])]
         sentence = text[a + (cut[-1] if cut else 0) : b]
-        if _TOLD.search(sentence) or _MARKUP.match(slot):
+        if _MARKUP.match(slot) or _DUNDER.fullmatch(slot) or _told(sentence[: m.start() - b + len(sentence)], text[m.end() : b]):
             continue
         if slot[0] == "[" and (_REDACTED.fullmatch(slot.replace(" ", "") if re.match(r"\[ ?\w \w ", slot) else slot) or re.search(r"(?i)\b(?:removed|redacted|masked|screening|withheld)\b", sentence)):
             continue

@@ -48,6 +48,16 @@ def test_slots():
         assert not unfilled_slot("Some work.\n- " + s + "\nMore work."), s
 
 
+def test_slots_of_bullets_and_told_ones():
+    for s in ("Managed {{team_size}} people.", "Increased sales by [X]% at [Company].", "Led <team name> for two years.", "Replaced {{old_system}} with a new one.", "Published {{number}} papers in journals.", "Wrote build scripts for [Company]."):
+        assert unfilled_slot("Some work.\n- " + s), s
+    for s in ("Wrote a tool that renders {{a}}, {{b}} and {{c}} from a table.", "Documented placeholders such as ${name} for editors.", "Removed the {{city}} tag from letters.", "Checked how {{role}} and ${town} are replaced."):
+        assert not unfilled_slot("Some work.\n- " + s), s
+    assert page_verdict("Failed to load: error 500.", TemplateTree()) == "error"
+    assert page_verdict("Failed connection. The page could not be loaded.", TemplateTree()) is None  # the first message has no listed wording
+    assert page_verdict("Failed request: the page could not be loaded.", TemplateTree()) == "error"
+
+
 def test_residue(spark):
     texts = [None, "", "  \n", "fine", "Dear {{x}},", "Oops! This page took a wrong turn.", "w " * 100_000 + "\nDear {{x}},"]
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, kind string")
