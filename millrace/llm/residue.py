@@ -1,7 +1,7 @@
 """Template residue, filler, error pages and script notices among documents.
 
-Messages are mined into templates by a fixed-depth prefix tree; a template is classified once and its verdict goes to all
-messages that differ from it in parameters only. Unfilled slots inside ordinary documents are looked for separately.
+Messages are mined into templates by a fixed-depth prefix tree; numbers and names are masked, and a masked message is classified
+once, by itself alone. Unfilled slots inside ordinary documents are looked for separately.
 """
 
 from __future__ import annotations
@@ -59,11 +59,12 @@ def clean(text: str) -> str:
 class TemplateTree:
     """A fixed-depth prefix tree of message templates: token count, then the first tokens, then templates of that leaf.
 
-    A message belongs to a template of its leaf if all constant tokens agree, and then has its verdict without being
-    looked at. Else it is classified; with the verdict of a template that shares at least the fraction `similar` of its
-    tokens and differs in parameters only, it widens that template, or it starts a new one. Parameters (numbers, names)
-    never bear on a verdict, so a verdict depends on the message alone, not on what came before it. A tree starts
-    anew when it holds `most` templates: that costs time, it changes no verdict.
+    A masked message is classified once and remembered. It belongs to a template of its leaf that has its verdict if all
+    constant tokens agree and parameters (numbers, names) stand for the others; else it widens a template of its verdict that
+    shares at least the fraction `similar` of its tokens and differs in parameters only, or starts a new one. Templates give
+    no verdicts: wordings may tell a number from a name, so that a widened template would judge unseen what differs. A verdict
+    depends on the message alone, not on what came before it. A tree starts anew when it holds `most` templates or
+    four times as many messages: that costs time, it changes no verdict.
     """
 
     def __init__(self, depth: int = 4, similar: float = 0.6, most: int = 50_000):
@@ -79,18 +80,15 @@ class TemplateTree:
         if got is not None:
             return got
         leaf = self.leaves.setdefault((len(tokens), *tokens[: self.depth - 2]), [])
-        for template, kind in leaf:
-            if all(a == b or a == "<*>" for a, b in zip(template, tokens)):
-                break
-        else:
-            kind = classify(" ".join(tokens))
+        kind = classify(" ".join(tokens))
+        if not any(k == kind and all(a == b or a == "<*>" and _parameter(b) for a, b in zip(template, tokens)) for template, k in leaf):
             near = max((t for t in leaf if t[1] == kind), key=lambda t: sum(a == b for a, b in zip(t[0], tokens)), default=None)
-            if near and all(a == b or a == "<*>" or _parameter(a) and _parameter(b) for a, b in zip(near[0], tokens)) and sum(a == b for a, b in zip(near[0], tokens)) >= self.similar * len(tokens):
+            if near and all(a == b or _parameter(a) and _parameter(b) for a, b in zip(near[0], tokens)) and sum(a == b for a, b in zip(near[0], tokens)) >= self.similar * len(tokens):
                 near[0][:] = [a if a == b else "<*>" for a, b in zip(near[0], tokens)]
             else:
                 leaf.append((tokens, kind))
                 self.size += 1
-        if self.size >= self.most:
+        if self.size >= self.most or len(self.known) >= 4 * self.most:
             self.leaves.clear()
             self.known.clear()
             self.size = 0

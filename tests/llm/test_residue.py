@@ -41,6 +41,14 @@ def test_verdict_does_not_depend_on_order():
     assert [page_verdict(t, a) for t in texts] == want
 
 
+def test_widened_templates_judge_nothing_unseen():
+    for group in (["12 Quarry Lane", "12 Quarry 5", "12 Quarry lane"], ["error* foo bar baz", "Jo Xy foo bar", "error7 foo bar baz"]):
+        fresh = [TemplateTree().verdict(m) for m in group]
+        for order in ((0, 1, 2), (2, 1, 0), (1, 0, 2), (1, 2, 0)):
+            tree = TemplateTree()
+            assert {i: tree.verdict(group[i]) for i in order} == dict(enumerate(fresh))
+
+
 def test_slots():
     for s in SLOTS:
         assert unfilled_slot("Some work.\n" + s + "\nMore work."), s
