@@ -28,6 +28,9 @@ def allowance(length: int) -> int:
     return 0 if length <= 4 else 1 if length <= 6 else 2 if length <= 12 else 3
 
 
+MOST_EDITS = 3
+
+
 class Trie:
     """Paths to entry ids. A node has its children, its ids, and the fewest and most characters from here to an end."""
 
@@ -121,7 +124,8 @@ class Matcher:
             if exact and exact[1]:  # nothing else can score higher
                 got = [(e, 0, len(window)) for e in exact[1]]
             else:
-                got = [(e, d, n) for e, (d, n) in self.trie.search(window, allowance(len(window) + 1)).items()]
+                most = max(d for d in range(MOST_EDITS + 1) if d <= allowance(len(window) + d))  # a path d edits away has at most d characters more
+                got = [(e, d, n) for e, (d, n) in self.trie.search(window, most).items()]
             if len(self.windows) >= self.remembered:
                 self.windows.clear()
             self.windows[window] = got

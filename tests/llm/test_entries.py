@@ -30,6 +30,22 @@ def test_search_is_brute_force(paths, query):
     assert got == want
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("abcdefgh", min_size=3, max_size=16), st.lists(st.tuples(st.sampled_from("ird"), st.integers(0, 20)), max_size=3))
+def test_candidates_reach_every_allowed_path(path, changes):
+    window = path
+    for how, i in changes:
+        i %= len(window) or 1
+        window = window[:i] + ("x" if how != "d" else "") + window[i + (how != "i") :]
+    got = {e: d for e, d, _ in Matcher([(1, path, [])]).candidates(window)}
+    assert got == ({1: d} if (d := edits(window, path)) <= allowance(len(path)) else {})
+
+
+def test_two_lost_characters():
+    assert [e for e, _, _ in Matcher([(1, "abcdefg", [])]).candidates("abcde")] == [1]
+    assert [e for e, _, _ in Matcher([(1, "abcdefghijklm", [])]).candidates("abcdefghij")] == [1]
+
+
 def test_values():
     m = Matcher(LIST)
     for value, entry in {
