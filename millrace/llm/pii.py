@@ -71,9 +71,14 @@ _OTHER_LABEL = re.compile(r"(?i)(?:part (?:number|no)|requisition|\breq|\bpo\b|\
 _PHONE = re.compile(
     r"\+\d[\d ()./-]{6,19}\d|\(\d{2,5}\) ?\d{3,4}[- ]?\d{3,5}|(?:1[-. ])?\d{3}[-. ]\d{3}[-. ]\d{4}|\d{3}-\d{4}|0\d{1,5}[ /-]\d{3,8}(?:[- ]\d{2,5}){0,3}|0\d(?:[. ]\d{2}){4}|0\d{9,10}|0\d{3,4} \d{3} ?\d{3}|00\d{2}[\d ]{7,14}|1[3-9]\d{9}|\d{3,4}[ -]\d{4}[ -]\d{4}|(?:\d{2}[ .-]){4}\d{2}|\d{5} \d{5,6}"
 )
-_ANCHOR = re.compile(
-    rf"(?:\b{_TITLE}\.? |\bName: ?|\b(?:Reference|Referee|Referencia|Referenz|Référence|Referência|Contacto|Contact|Kontakt|Garant|Guarantor|Emergency contact|In case of emergency)\b[^:\n]{{0,20}}: ?(?:{_TITLE}\.? )?|\b(?:Mentored by|Reported to|[Ll]etter from|cleared for|Spoke with|desk from|keys to|ausgestellt von|Ansprechpartner(?:in)? war|signed by|interviewed by|supervised by|recommended by) (?:{_TITLE}\.? )?)$"
+_ANNOUNCING = (
+    rf"(?:\b{_TITLE}\.? |\bName: ?|\b(?:Reference|Referee|Referencia|Referenz|Référence|Referência|Contacto|Contact|Kontakt|Garant|Guarantor|Emergency contact|In case of emergency)\b[^:\n]{{0,20}}: ?(?:{_TITLE}\.? )?|\b(?:Mentored by|Reported to|[Ll]etter from|cleared for|Spoke with|desk from|keys to|ausgestellt von|Ansprechpartner(?:in)? war|signed by|interviewed by|supervised by|recommended by) (?:{_TITLE}\.? )?)"
 )
+_ANCHOR, _ANNOUNCED = re.compile(f"{_ANNOUNCING}$"), re.compile(_ANNOUNCING)
+#: A name in lower case behind announcing words: initials and a surname, or behind a title two words.
+_LOW_ANNOUNCED = re.compile(rf"(?i){_ANNOUNCING}(?<=[ :])((?:[^\W\d_]\. ?)+(?:{_PARTICLE} )?[^\W\d_][\w'’]+(?:-[^\W\d_][\w'’]+)*)(?![\w@+-]|\.\w)|\b(?:mrs|mr|ms|mx|dr|prof|herrn|herr|frau|mme|mlle)\.? ((?:[^\W\d_]{{3,}}) (?:{_PARTICLE} )?[^\W\d_][\w'’]{{2,}}(?:-[^\W\d_][\w'’]+)*)(?![\w@+-]|\.\w)")
+#: What any such name holds, quick to look for.
+_LOW_SIGN = re.compile(r"(?<![\w.@'’-])[^\W\d_]\. ?[^\W\d_]|(?i:(?<!\w)(?:mrs|mr|ms|mx|dr|prof|herrn|herr|frau|mme|mlle)\.? [^\W\d_]{3})")
 _AFTER_TITLE = re.compile(r"^(?:, | – | - | is an? )(?:(?:Senior|Junior|Lead|Principal|Staff|Assistant|Chief|Head|Deputy|Trainee|Associate) )?[A-Z]\w+(?: [A-Z]\w+)*[.]? ?")
 _ORG = frozenset(
     "college university universität université universidad universidade institute school academy polytechnic politechnika högskolan école escuela hochschule bank labs media group holdings partners gmbh ltd inc llc s.a foods energy retail logistics freight clinic works analytics insurance textiles board systems höhne söhne daughters company corp health water hospital street road lane avenue prize award depot site team street".split()
@@ -212,7 +217,7 @@ class Model:
     def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: float, names: frozenset[str] = frozenset()):
         self.unary, self.chain, self.skip = unary, chain, skip
         self.weights: list[float] = []
-        #: Words that the training sample showed to be first names, in lower case; where they stand in lower case, a name may be meant.
+        #: Words announced as names, in lower case; where they stand in lower case, a name may be meant.
         self.names = names
         #: The most that messages can add to a token: two chain neighbours and two skip neighbours.
         self.reach = float(2 * (np.abs(chain[1] - chain[0]).max() + np.abs(chain[:, 1] - chain[:, 0]).max()) + 2 * abs(skip))
@@ -296,10 +301,19 @@ def low_runs(text: str, names: frozenset[str]) -> list[list[tuple[str, int, str,
             spans.append((m.start(), f.end()))
         if (f := _LOW_BEFORE.search(text, max(0, m.start() - 40), m.start())) and f.group().islower() and not _JOINT_ONLY.fullmatch(f.group()):
             spans.append((f.start(), m.end()))
-        out.append([(_capitalized(text[a:b]), a, text[max(0, a - 24) : a].rpartition("\n")[2], text[b : b + 16].partition("\n")[0]) for a, b in spans])
+        out.append([_low_run(text, a, b) for a, b in spans])
     return out
 
 
+def _low_run(text: str, a: int, b: int) -> tuple[str, int, str, str]:
+    return _capitalized(text[a:b]), a, text[max(0, a - 24) : a].rpartition("\n")[2], text[b : b + 16].partition("\n")[0]
+
+
+def announced_low_runs(text: str) -> list[list[tuple[str, int, str, str]]]:
+    """The runs in lower case that announcing words stand before, whether or not their words are known."""
+    return [[_low_run(text, *m.span(m.lastindex))] for m in _LOW_ANNOUNCED.finditer(text) if m.group(m.lastindex).islower()]
+
+
 # ---------------------------------------------------------------------------------------------- training
 
 
@@ -308,6 +322,38 @@ def _kind_of(column: str, path: str) -> str:
     return path.split("[")[0].split(".")[0] + "." + path.rsplit(".", 1)[-1].split("[")[0] if "." in path else path.split("[")[0]
 
 
+#: Fields whose words are titles, companies, schools or skills.
+_OTHER_KINDS = ("experience.title", "experience.company", "education.school", "education.degree", "skills.skill", "projects.technologies", "projects.name")
+
+
+def _other_words(kind: str, text: str) -> set[str]:
+    if kind not in _OTHER_KINDS:
+        return set()
+    words = {w.lower() for w in re.findall(_WORD, text)}
+    return words if kind != "education.school" or not words & _ORG else set()  # schools are often named after people
+
+
+def _is_name(docs: int, other: int) -> bool:
+    """First names recur with many surnames; a word of other fields as well is one only if it is far more often announced."""
+    return docs >= 3 and docs * 4 > other
+
+
+def announced_words(document: Sequence[tuple[str, str, str]]) -> tuple[set[str], Counter]:
+    """The words of a document that are announced as parts of names, and those of its other fields with their counts."""
+    first, other = set(), Counter()
+    for column, path, text in document:
+        kind = _kind_of(column, path)
+        other.update(_other_words(kind, text))
+        found = [r for m in _ANNOUNCED.finditer(text) if (r := RUN.match(text, m.end()))]
+        if kind == "summary" and (r := RUN.match(text)) and _AFTER_TITLE.match(text[r.end(1) : r.end(1) + 16].partition("\n")[0]):
+            found.append(r)
+        for r in found:
+            words = [t.lower() for t in _TOKENS.findall(r.group(1))]
+            if 2 <= len(words) <= 4 and _ORG.isdisjoint(words):
+                first.update(w for w in words if len(w) > 2)
+    return first, other
+
+
 def weak_labels(documents: Sequence[Sequence[tuple[str, str, str]]]) -> tuple[list[list[tuple[Run, list[tuple], list[int]]]], set[str]]:
     """Labels (1 name, 0 none, -1 unknown) for the runs of documents, which are lists of (column, path, text).
 
@@ -319,10 +365,7 @@ def weak_labels(documents: Sequence[Sequence[tuple[str, str, str]]]) -> tuple[li
         rows = []
         for column, path, text in doc:
             kind = _kind_of(column, path)
-            if kind in ("experience.title", "experience.company", "education.school", "education.degree", "skills.skill", "projects.technologies", "projects.name"):
-                words = {w.lower() for w in re.findall(_WORD, text)}
-                if kind != "education.school" or not words & _ORG:  # schools are often named after people
-                    other.update(words)
+            other.update(_other_words(kind, text))
             for run, a, left, right in runs(text):
                 r = Run(run)
                 anchored = bool(_ANCHOR.search(left)) or (a == 0 and kind == "summary" and bool(_AFTER_TITLE.match(right)))
@@ -332,9 +375,7 @@ def weak_labels(documents: Sequence[Sequence[tuple[str, str, str]]]) -> tuple[li
                         if len(w) > 2:
                             first[w].add(d)
         parsed.append(rows)
-    # first names recur with many surnames; a word of other fields as well is one only if it is far more often announced
-    need = 3 if len(documents) > 100 else 2
-    names = {w for w, docs in first.items() if len(docs) >= need and len(docs) * 4 > other[w]}
+    names = {w for w, docs in first.items() if _is_name(len(docs), other[w])}
     labelled = []
     for rows in parsed:
         out = []
@@ -361,8 +402,11 @@ def weak_labels(documents: Sequence[Sequence[tuple[str, str, str]]]) -> tuple[li
     return labelled, names
 
 
-def train(documents: Sequence[Sequence[tuple[str, str, str]]], epochs: int = 3, rate: float = 0.15) -> Model:
-    """Fits the field to weakly labelled documents by pseudo-likelihood: each node given its neighbours, AdaGrad steps."""
+def train(documents: Sequence[Sequence[tuple[str, str, str]]], epochs: int = 3, rate: float = 0.15, known_names: Iterable[str] | None = None) -> Model:
+    """Fits the field to weakly labelled documents by pseudo-likelihood: each node given its neighbours, AdaGrad steps.
+
+    known_names: what may be a name in lower case; without them, the words announced in these documents.
+    """
     features: list[np.ndarray] = []
     label: list[int] = []
     before: list[int] = []
@@ -418,7 +462,7 @@ def train(documents: Sequence[Sequence[tuple[str, str, str]]], epochs: int = 3,
             pair = np.clip(pair + rate * gp / np.sqrt(pair2), -1.5, 1.5)
     both = float(max(0.0, pair[0] + pair[1]) / 2)
     chain = np.array([[both, -both], [-both, both]]) / 2
-    return Model(w.astype(np.float32), chain, float(max(0.25, min(1.0, pair[2]))), frozenset(n for n in names if len(n) > 2 and not re.fullmatch(_PARTICLE, n)))
+    return Model(w.astype(np.float32), chain, float(max(0.25, min(1.0, pair[2]))), frozenset(n for n in (names if known_names is None else known_names) if len(n) > 2 and not re.fullmatch(_PARTICLE, n)))
 
 
 def _candidate_label(kind: str, text: str, left: str) -> int:
@@ -513,8 +557,11 @@ class Finder:
                 r, s = self._scored(run, left, right)
                 if max(s) >= -self.model.reach:  # else no message could make it a name
                     held.append((a, r, s))
-            if not self.model.names.isdisjoint(_LOW.findall(line)):
-                chosen = [max(scored, key=_surest) for either in low_runs(line, self.model.names) if (scored := [(a, *self._scored(run, left, right)) for run, a, left, right in either])]
+            either_of = low_runs(line, self.model.names) if not self.model.names.isdisjoint(_LOW.findall(line)) else []
+            if _LOW_SIGN.search(line):
+                either_of += announced_low_runs(line)
+            if either_of:
+                chosen = [max(scored, key=_surest) for either in either_of if (scored := [(a, *self._scored(run, left, right)) for run, a, left, right in either])]
                 taken: list[tuple[int, int]] = []
                 for a, r, s in sorted(chosen, key=_surest, reverse=True):  # of overlapping ones the surest
                     b = a + r.offsets[-1] + len(r.tokens[-1])
@@ -588,11 +635,41 @@ def _document(row: Sequence[str | None], columns: Sequence[str]) -> list[tuple[s
     return [(c, path, text) for c, j in zip(columns, row) if j for path, text in string_leaves(j)]
 
 
-def fit(resumes: DataFrame, columns: Sequence[str], key: str, sample: int = 1000) -> Model:
-    """A model fitted on at most `sample` rows, those of the lowest hash of their key: the bound of the training set."""
+#: The most names that are sent to the workers, the most often announced; some MB.
+MOST_NAMES = 200_000
+
+
+def known_names(resumes: DataFrame, columns: Sequence[str], key: str) -> list[str]:
+    """The words announced as names in at least three rows, counted over all rows: counts by word within each partition, then one shuffle of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, other = Counter(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            words = list(first.keys() | other.keys())
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([first[w] for w in words], pa.int64()), pa.array([other[w] for w in words], pa.int64())], ["word", "n", "other"])
+            first.clear()
+            other.clear()
+            return out
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                mine, rest = announced_words(_document(row, columns))
+                first.update(mine)
+                other.update(rest)
+            if len(first) + len(other) > 500_000:
+                yield counted()
+        yield counted()
+
+    counts = resumes.select(*columns).mapInArrow(run, "word string, n long, other long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("other").alias("other"))
+    return [r[0] for r in counts.filter("n >= 3 AND n * 4 > other").orderBy(F.col("n").desc(), "word").limit(MOST_NAMES).select("word").collect()]
+
+
+def fit(resumes: DataFrame, columns: Sequence[str], key: str, sample: int = 1200) -> Model:
+    """A model fitted on at most `sample` rows, those of the lowest hash of their key: the bound of the training set. Names in lower case are known from all rows."""
     chosen = resumes.select(F.col(key).alias("_k")).orderBy(F.xxhash64(F.col("_k").cast("string")), "_k").limit(sample)  # keys only, at most `sample`
     rows = resumes.join(F.broadcast(chosen), F.col(key) == F.col("_k"), "left_semi").select(key, *columns).orderBy(key).collect()
-    return train([_document(r[1:], columns) for r in rows])
+    return train([_document(r[1:], columns) for r in rows], known_names=known_names(resumes, columns, key))
 
 
 def _found(resumes: DataFrame, key: str, columns: Sequence[str], model: Model | None, chunk: int, fields: str, rows_of) -> DataFrame:

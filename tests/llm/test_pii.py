@@ -91,3 +91,18 @@ def test_lower_case_names(model):
     texts = ["Ms bojan velborg, Phone: 555-0123", "Zeugnis ausgestellt von elif von novarro im Werk.", "Reference: kilmarth, amara (020 7946 0123)", "we met in the elif of dawn."]
     found = pii.Finder(model).find([[("parsed_data_json", "misc", t)] for t in texts])
     assert [[t[a:b] for _, k, a, b in rows if k == "name"] for t, rows in zip(texts, found)] == [["bojan velborg"], ["elif von novarro"], ["kilmarth, amara"], []]
+
+
+def test_lower_case_names_behind_announcing_words(model):
+    texts = ["Ms a. velborg, Phone: 555-0123", "Reference: b. kilmarth (020 7946 0123)", "Mr zuri pellworth, Phone: 555-0123", "we see p. twelve"]
+    found = pii.Finder(model).find([[("parsed_data_json", "misc", t)] for t in texts])
+    assert [[t[a:b] for _, k, a, b in rows if k == "name"] for t, rows in zip(texts, found)] == [["a. velborg"], ["b. kilmarth"], ["zuri pellworth"], []]
+
+
+def test_names_are_known_from_all_rows(spark):
+    rng = random.Random(7)
+    docs = [document(rng)[0][0][2] for _ in range(60)] + [f"Ms Quillon {l}" for l in LAST[:3]] + ["Ms Rarely Velborg"] * 2
+    df = spark.createDataFrame([(i, json.dumps({"misc": t}), None) for i, t in enumerate(docs)], "resume_id long, parsed_data_json string, processed_data_json string")
+    known = pii.known_names(df, pii.COLUMNS, "resume_id")
+    assert "quillon" in known and "rarely" not in known
+    assert "quillon" in pii.fit(df, pii.COLUMNS, "resume_id", sample=5).names
