@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import matching as M
+from ..operators import normalizing as N
 from ..sources import schemas as S
 
 
@@ -25,6 +26,12 @@ def skill_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.normalized(typed, "value", S.taxonomy(spark, sf_dir)).select("criteria_id", "pos", "skill_id", "canonical", "confidence")
 
 
+def skill_normalize_as_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each typed must-have skill cleaned up, then by equal, contained or similar form, with the confidence and the normal form."""
+    typed = S.table(spark, sf_dir, "jd_criteria").select("criteria_id", F.posexplode("must_have_skills").alias("pos", "value"))
+    return N.normalized_as_typed(typed, "value", S.taxonomy(spark, sf_dir)).drop("value")
+
+
 def _candidate_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     skills = S.resumes(spark, sf_dir, "skills").select("candidate_id", F.explode("skills.skill").alias("s")).select("candidate_id", F.lower(F.trim("s")).alias("s")).filter("s <> ''")
     return skills.groupBy("candidate_id").agg(F.sort_array(F.collect_set("s")).alias("have"))
@@ -78,7 +85,7 @@ def skill_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.best_rule(sections, "resume_id", spark.createDataFrame(RULES, "skill string, bucket string, confidence double, pattern string"))
 
 
-QUERIES = {f.__name__: f for f in (taxonomy_forms, skill_extract, skill_normalize, skill_gaps, skills_wanted_not_had, skill_sets, skill_inference)}
+QUERIES = {f.__name__: f for f in (taxonomy_forms, skill_extract, skill_normalize, skill_normalize_as_typed, skill_gaps, skills_wanted_not_had, skill_sets, skill_inference)}
 
 _FORMS = "f AS (SELECT surface, max(skill_id) AS skill_id, arg_max(canonical, skill_id) AS canonical FROM (SELECT skill_id, canonical, unnest(list_distinct(list_transform(list_prepend(canonical, coalesce(variants, [])), lambda x: lower(x)))) AS surface FROM skill_taxonomy) GROUP BY surface)"
 _W = "list_filter(list_transform(string_split_regex(lower({c}), '[^a-z0-9+#.-]+'), lambda w: regexp_replace(w, '^[.-]+|[.-]+$', '', 'g')), lambda w: w <> '')"
