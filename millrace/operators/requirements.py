@@ -16,6 +16,17 @@ def jd_title(title: Column, text: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(title), F.lit("")), F.get(lines, F.lit(0)))
 
 
+#: What a title stands behind, in the order tried.
+TITLE_LABELS = ("job title", "position", "role", "we are looking for", "seeking", "hiring")
+
+
+def labelled_title(title: Column, text: Column) -> Column:
+    """The title if given, else what stands behind the first label of TITLE_LABELS that gives over three characters without punctuation,
+    else the text's first line as in jd_title."""
+    behind = [F.trim(F.regexp_replace(F.trim(F.regexp_extract(text, rf"(?i)\b{x}[:\s]+([^\n]+)", 1)), r"(?U)[^\w\s-]", "")) for x in TITLE_LABELS]
+    return F.coalesce(F.nullif(F.trim(title), F.lit("")), *[F.when(F.length(b) > 3, b) for b in behind], jd_title(title, text))
+
+
 def must_have(skills: DataFrame, key: str, text: str, surface: str, most: int = 8) -> DataFrame:
     """(key, surface, n, score, pos): the skills a text requires, the best few.
 

@@ -20,6 +20,11 @@ def jd_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "job_postings").select("job_id", R.jd_title(F.col("title"), F.col("description")).alias("title"))
 
 
+def jd_titles_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The title of each posting, one behind a label in its text before the first line."""
+    return S.table(spark, sf_dir, "job_postings").select("job_id", R.labelled_title(F.col("title"), F.col("description")).alias("title"))
+
+
 def must_have_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The skills each posting's text requires, by mentions and what stands around them."""
     jobs = S.table(spark, sf_dir, "job_postings").select("job_id", "description")
@@ -80,7 +85,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts(S.table(spark, sf_dir, "events")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-QUERIES = {f.__name__: f for f in (jd_titles, must_have_scoring, jd_texts, variant_select, analysis_text, near_duplicate_sentences, readability, export_json, event_windows)}
+QUERIES = {f.__name__: f for f in (jd_titles, jd_titles_labelled, must_have_scoring, jd_texts, variant_select, analysis_text, near_duplicate_sentences, readability, export_json, event_windows)}
 
 _WS = "[ \\t\\n\\x0B\\f\\r]"
 _SENT = "list_filter(list_transform(string_split(regexp_replace({c}, '([.!?])" + _WS + "+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '')"
