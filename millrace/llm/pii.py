@@ -1,8 +1,10 @@
 """Personal information in free text, by a skip-chain conditional random field.
 
 A document's nodes are the tokens of its capitalized runs (is it part of a person's name?) and its candidates for email
-addresses, phone numbers, identity numbers and street addresses (is it one?). Neighbours in a run share a chain potential,
-occurrences of one word anywhere in the document a skip potential; loopy message passing gives the marginals.
+addresses, phone numbers, identity numbers and street addresses (is it one?), a number that may be a phone or an identity
+number being two nodes that exclude each other. Neighbours in a run share a chain potential; occurrences of one word, of one
+number, address or email address anywhere in the document a skip potential, as do a name's words and the email addresses
+spelt with them. Loopy message passing gives the marginals.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ import gc
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -63,25 +65,39 @@ _ADDRESS_NUMBER_LAST = re.compile(
 )
 #: What any such address holds, quick to look for.
 _NUMBER_THEN = re.compile(rf"\d[A-Za-z]?(?: ?(?:bis|ter|BIS|TER))?,? (?:[{_U}NSEWnsew]|(?i:rue|av|bo|bd|pl|ch|al|im|qu|ro|co|sq|pa|ru|se|fa|es|pr))")
-_THEN_NUMBER = re.compile(rf"[{_U}][\w.-]*,? (?:n[.º°o]* ?)?\d|(?i:alto|bajo|mayor|nueva?)?,? n[.º°]+ ?\d")
+_SPACE_NUMBER = re.compile(r" (?:n[.º°o]* ?)?\d")
 _STREET_SIGNS = ("calle", "c/", "plaza", "plaça", "paseo", "avenida", "avda", "av.", "camino", "ronda", "travesía", "carrer", "rua ", "via", "piazza", "corso", "largo", "praça", "travessa", "vicolo", "strada", "ulica", "ul.", "aleja", "am ", "an de", "auf de", "im ", "in de", "zum ", "zur ", "unter", "hinter", "vor dem", "obere", "alte", "neue", "große", "kleine", "lange", "hohe", "straße", "strasse", "str.", "gasse", "weg", "platz", "allee", "ring", "ufer", "damm", "steig", "steg", "markt", "graben", "gatan", "vägen", "gade", "vej", "straat", "laan", "plein", "str ")
+_STREET_SIGN = re.compile("|".join(map(re.escape, _STREET_SIGNS)))
 _ID_LABEL = re.compile(r"(?i)(?:\bssn|\bsin|\bnino|\bdni(?:/nif)?|\bni (?:number|no)|\bnif|\bnie|\bnhs|\bpesel|\bcpf|\bcurp|\baadhaar|\bbsn|social (?:security|insurance)|sécurité sociale|soc\. ?sec|\bsozialvers\w*|\bversicherungs\w*|national (?:id|insurance|identity)|identity (?:card|number|no)|\bid (?:card|number|no)|citizen (?:number|no|id)|personal (?:id|number|code)|person(?:al)?nummer|passport|passeport|pasaporte|reisepass\w*|personalausweis\w*|\bausweis\w*|carte d['’]identité|documento|driv(?:er['’]?s?|ing) licen[cs]e|führerschein\w*|permis de conduire|\bdl ?#|tax (?:id|number)|steuer\w*|número de (?:identidad|afiliación)|codice fiscale)[^\n\d]{0,14}$")
-_PHONE_LABEL = re.compile(r"(?i)(?:\btel(?:/fax|efon\w*|éfono|éphone)?|\btél|phone|mobile|\bmobil|\bmóvil|\bcell(?:ulare)?|\bfax|direct line|call (?:back )?(?:on|at)?|text me|\bunter|\bhandy|whats ?app|responde en el|hotline|on-call number was|\bring|\breach\w* (?:me |him |her |them )?(?:on|at)|contact(?:o)?)[^\n\d+(]{0,8}$")
+_PHONE_LABEL = re.compile(r"(?i)(?:\btel(?:/fax|efon\w*|éfono|éphone)?|\btél|phone|mobile|\bmobil|\bmóvil|\bcell(?:ulare)?|\bfax|direct line|call (?:back )?(?:on|at)?|text me|\bunter|\bhandy|whats ?app|responde en|hotline|number (?:is|was)|\bring|\breach\w* (?:me |him |her |them )?(?:on|at)|contact(?:o)?)[^\n\d+(]{0,8}$")
 _OTHER_LABEL = re.compile(r"(?i)(?:part (?:number|no)|requisition|\breq|\bpo\b|\border|ticket\w*|invoice|certificate|cert\b|version|release|\bv|\bunits|\bworth|budget|ratio|\bover|\bon a|account|serial|model|\bcase|\bref(?:erence)? no|\bbatch|\bsku|\bitem|\bisbn|\bissue|\band|\bpage|\bsection|\bin|\bof|\bfrom|\bto|\bsince|\byear)[\w .#:-]{0,6}$")
 _PHONE = re.compile(
     r"\+\d[\d ()./-]{6,19}\d|\(\d{2,5}\) ?\d{3,4}[- ]?\d{3,5}|(?:1[-. ])?\d{3}[-. ]\d{3}[-. ]\d{4}|\d{3}-\d{4}|0\d{1,5}[ /-]\d{3,8}(?:[- ]\d{2,5}){0,3}|0\d(?:[. ]\d{2}){4}|0\d{9,10}|0\d{3,4} \d{3} ?\d{3}|00\d{2}[\d ]{7,14}|1[3-9]\d{9}|\d{3,4}[ -]\d{4}[ -]\d{4}|(?:\d{2}[ .-]){4}\d{2}|\d{5} \d{5,6}"
 )
+_MAIL_LABEL = re.compile(r"(?i)\b(?:e-?mail\w*|mail(?:to)?|correo\w*|courriel|contact\w*|kontakt\w*|reach\w*|write to|schreiben|escrib\w*)\b[^\n@]{0,20}$")
+_NOT_MAIL = re.compile(r"(?i)(?:\bssh|\bscp|\bgit(?: clone)?|\bremote|\brepositor\w+|://)[^\n@]{0,12}$")
+_ADDRESS_LABEL = re.compile(r"(?i)\b(?:address\w*|lives? (?:at|in)|living (?:at|in)|resid\w+ (?:at|in)|home|adress\w*|anschrift|wohn\w+(?: in)?|domicil\w+|direcci\w+|endereço|indirizzo|morada|vive en|habite)\b[^\n\d]{0,16}$")
+_COUNTED = re.compile(r"(?i)\b(?:over|than|about|nearly|some|version|release|page|section|chapter|grade|level|of the|top|all|first|last|every)\s$")
+_TOWN = re.compile(rf"(?:, ?| )(?:\d{{4,5}} |[A-Z]{{1,2}}\d[\dA-Z]? ?\d[A-Z]{{2}}\b)?[{_U}][\w'’-]+")
 _ANNOUNCING = (
-    rf"(?:\b{_TITLE}\.? |\bName: ?|\b(?:Reference|Referee|Referencia|Referenz|Référence|Referência|Contacto|Contact|Kontakt|Garant|Guarantor|Emergency contact|In case of emergency)\b[^:\n]{{0,20}}: ?(?:{_TITLE}\.? )?|\b(?:Mentored by|Reported to|[Ll]etter from|cleared for|Spoke with|desk from|keys to|ausgestellt von|Ansprechpartner(?:in)? war|signed by|interviewed by|supervised by|recommended by) (?:{_TITLE}\.? )?)"
+    rf"(?:\b{_TITLE}\.? |\bName: ?|\b(?:Reference|Referee|Referencia|Referenz|Référence|Referência|Contacto|Contact|Kontakt|Garant|Guarantor|Emergency contact|In case of emergency)\b[^:\n]{{0,20}}: ?(?:{_TITLE}\.? )?|\b(?:Mentored by|Reported to|[Ll]etter from|Spoke with|Ansprechpartner(?:in)? (?:ist|war)|signed by|interviewed by|supervised by|recommended by) (?:{_TITLE}\.? )?)"
 )
 _ANCHOR, _ANNOUNCED = re.compile(f"{_ANNOUNCING}$"), re.compile(_ANNOUNCING)
-#: A name in lower case behind announcing words: initials and a surname, or behind a title two words.
-_LOW_ANNOUNCED = re.compile(rf"(?i){_ANNOUNCING}(?<=[ :])((?:[^\W\d_]\. ?)+(?:{_PARTICLE} )?[^\W\d_][\w'’]+(?:-[^\W\d_][\w'’]+)*)(?![\w@+-]|\.\w)|\b(?:mrs|mr|ms|mx|dr|prof|herrn|herr|frau|mme|mlle)\.? ((?:[^\W\d_]{{3,}}) (?:{_PARTICLE} )?[^\W\d_][\w'’]{{2,}}(?:-[^\W\d_][\w'’]+)*)(?![\w@+-]|\.\w)")
-#: What any such name holds, quick to look for.
-_LOW_SIGN = re.compile(r"(?<![\w.@'’-])[^\W\d_]\. ?[^\W\d_]|(?i:(?<!\w)(?:mrs|mr|ms|mx|dr|prof|herrn|herr|frau|mme|mlle)\.? [^\W\d_]{3})")
+#: Two words in lower case, or initials and one, where names stand: behind announcing words, a title or "by", or alone at the head of a line.
+_LOW_WORD = r"[^\W\d_][\w'’]+(?:-[^\W\d_][\w'’]+)*"
+_LOW_NAME = rf"((?:(?:[^\W\d_]\. ?)+|[^\W\d_]{{3,}}(?:-[^\W\d_]+)? (?:[^\W\d_]\. )?)(?:{_PARTICLE} )?{_LOW_WORD}|{_LOW_WORD}, (?:[^\W\d_]\.|[^\W\d_]{{3,}}))(?![\w@+-]|\.\w)"
+_LOW_NAMED = re.compile(_LOW_NAME)
+#: Words that announce one, right before a letter in lower case; behind those of the group the name has to end a part of the sentence.
+_LOW_SIGN = re.compile(rf"\b(?i:(by|from|par|por|neighbou?r|colleague|alongside)|(?:mrs|mr|ms|mx|dr|prof|herrn|herr|frau|mme|mlle|sra?|señora?|m)(?:\.| )|(?:name|reference|referee|referencia|referenz|référence|referência|contacto?|kontakt|garant|guarantor|in case of emergency)\b[^:\n]{{0,20}}:|spoke with|reported to|ansprechpartner(?:in)? (?:ist|war)) ?(?:(?i:{_TITLE})\.? )?(?=[^\W\d_{_U}])")
+#: One of these words is in any text that holds such a sign: quick to look for.
+_LOW_WORDS = frozenset(
+    w + end for w in "by from par por neighbor neighbour colleague alongside mrs mr ms mx dr prof herrn herr frau mme mlle sr sra señor señora m name reference referee referencia referenz référence referência contact contacto kontakt garant guarantor case spoke reported ansprechpartner ansprechpartnerin".split() for end in ("", ".", ":")
+)
+_LOW_END = re.compile(r"[.,;:(]|$| (?:in|im|at|on|and|is|has) ")
+_LOW_HEAD = re.compile(rf"\W{{0,3}}{_LOW_NAME}(?= ?$| ?[,;|(·]| [–—-] ?| is an? |:)")
 _AFTER_TITLE = re.compile(r"^(?:, | – | - | is an? )(?:(?:Senior|Junior|Lead|Principal|Staff|Assistant|Chief|Head|Deputy|Trainee|Associate) )?[A-Z]\w+(?: [A-Z]\w+)*[.]? ?")
 _ORG = frozenset(
-    "college university universität université universidad universidade institute school academy polytechnic politechnika högskolan école escuela hochschule bank labs media group holdings partners gmbh ltd inc llc s.a foods energy retail logistics freight clinic works analytics insurance textiles board systems höhne söhne daughters company corp health water hospital street road lane avenue prize award depot site team street".split()
+    "college university universität université universidad universidade institute school academy polytechnic politechnika högskolan école escuela hochschule bank labs media group holdings partners gmbh ltd inc llc s.a foods energy retail logistics freight clinic works analytics insurance textiles board systems söhne daughters company corp health water hospital street road lane avenue prize award depot site team street".split()
 )
 _STOP = frozenset(
     "experience education skills summary projects languages references certificates profile contact name address phone mobile tel fax email e-mail ssn sin dni passport id nino reference the a an and our my we you they he she it in on at to for with by from of as is are was were call text moved set took spoke handed reported mentored january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday".split()
@@ -164,17 +180,34 @@ def _group(key: tuple) -> list[int]:
     return [_h(x) for x in (_of_pair(*key) if len(key) == 6 else _GROUPS[key[0]](*key[1:]))]
 
 
+@lru_cache(maxsize=10_000)
+def _label(left: str) -> str:
+    """What the words before a number say that it is."""
+    return "id" if _ID_LABEL.search(left) else "phone" if _PHONE_LABEL.search(left) else "other" if _OTHER_LABEL.search(left) else "none"
+
+
 def _candidate_features(kind: str, text: str, left: str, right: str) -> list[int]:
     shape = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "#", text)))
     words = re.findall(r"[^\W\d_]+|[^\w\s]", left)[-4:]
-    label = "id" if _ID_LABEL.search(left) else "phone" if _PHONE_LABEL.search(left) else "other" if _OTHER_LABEL.search(left) else "none"
+    label = _label(left)
     after = re.findall(r"[\w'’-]+|[^\w\s]", right)[:1]
     f = [f"!{kind}", f"!{kind}s{shape}", f"!{kind}s{shape[:5]}", f"!{kind}t{re.sub('#+', '#', shape)}", f"!{kind}L{label}", f"!{kind}L{label}{shape[:3]}", f"!{kind}n{sum(c.isdigit() for c in text)}", *(f"!{kind}w{w.lower()}" for w in words), f"!{kind}l1{words[-1].lower() if words else '^'}", f"!{kind}r1{after[0].lower() if after else '$'}"]
     return [_h(x) for x in f]
 
 
+def _named_number(text: str) -> bool:
+    """Whether a number stands behind a word with a capital, or one of those that streets are named by in lower case."""
+    for m in _SPACE_NUMBER.finditer(text):
+        a = m.start()
+        word = text[text.rfind(" ", 0, a) + 1 : a].rstrip(",")
+        if word[:1].isupper() or word in ("alto", "bajo", "mayor", "nuevo", "nueva") or word[-1:] == ".":
+            return True
+    return False
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of what may be an email address, phone number, identity number or street address; they don't overlap."""
+    """(kind, start, end) of what may be an email address, phone number, identity number or street address. They don't overlap, but
+    for a number without an identity label in the form of a phone number, which is a candidate for both."""
     taken: list[tuple[str, int, int]] = []
     if "@" in text or "(at" in text or "[at" in text or " at " in text and " dot " in text or "(AT" in text or "[AT" in text or " AT " in text and " DOT " in text:
         taken += [("email", m.start(), m.end()) for m in _EMAIL.finditer(text)]
@@ -182,12 +215,8 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         return taken
     free = lambda a, b: all(b <= x or a >= y for _, x, y in taken)
     patterns = [_ADDRESS_NUMBER_FIRST] if _NUMBER_THEN.search(text) else []
-    if _THEN_NUMBER.search(text):
-        low = text.lower()
-        for sign in _STREET_SIGNS:
-            if sign in low:
-                patterns.append(_ADDRESS_NUMBER_LAST)
-                break
+    if _named_number(text) and _STREET_SIGN.search(text.lower()):
+        patterns.append(_ADDRESS_NUMBER_LAST)
     for pattern in patterns:
         for m in pattern.finditer(text):
             if free(m.start(), m.end()):
@@ -198,29 +227,43 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     for m in _NUMBER.finditer(text):
         a, b = m.span()
         s = m.group()
-        if len(s) > 26 or len(_DIGIT.findall(s)) < 5 or _DATE.fullmatch(s):
+        if len(_DIGIT.findall(s)) < 5 or _DATE.fullmatch(s):
             continue
-        left = text[max(0, a - 40) : a]
-        labelled = bool(_ID_LABEL.search(left.rpartition("\n")[2]))
-        if not labelled and (p := _PHONE.match(text, a)) and p.end() >= b - 3 and p.end() <= b:
-            kind, b = "phone", p.end()
-        else:
-            kind = "id_number"
-        if free(a, b):
-            taken.append((kind, a, b))
+        phone = None if _label(text[max(0, a - 40) : a].rpartition("\n")[2]) == "id" else _PHONE.match(text, a)
+        if not free(a, b):
+            continue
+        if phone and b - 3 <= phone.end() <= b:
+            taken.append(("phone", a, phone.end()))
+        taken.append(("id_number", a, b))
     return taken
 
 
+_NOT_OF_VALUE = re.compile(r"[^\w]+")
+
+
+def _value(kind: str, text: str) -> str:
+    """What two occurrences of one value share, however they are written: the kind and the letters and digits."""
+    return kind[0] + _NOT_OF_VALUE.sub("", text.lower())
+
+
+_PART = re.compile(r"[^\W\d_]{4,}")
+
+
+def _name_parts(kind: str, text: str) -> list[str]:
+    """The words of an email address before the sign that may be parts of a name."""
+    return _PART.findall(re.split(r"@|[\[(]| at ", text.lower(), maxsplit=1)[0]) if kind == "email" else []
+
+
 class Model:
-    """Weights of the field: unary ones by hashed feature, chain potentials of (left label, right label), the skip potential."""
+    """Weights of the field: unary ones by hashed feature, chain potentials of (left label, right label), and the skip potentials
+    of equal words, of equal values, and of an email address and a name's word it is spelt with."""
 
-    def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: float, names: frozenset[str] = frozenset()):
-        self.unary, self.chain, self.skip = unary, chain, skip
+    def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: float, equal: float = 0.0, spelt: float = 0.0):
+        self.unary, self.chain, self.skip, self.equal, self.spelt = unary, chain, skip, equal, spelt
         self.weights: list[float] = []
-        #: Words announced as names, in lower case; where they stand in lower case, a name may be meant.
-        self.names = names
-        #: The most that messages can add to a token: two chain neighbours and two skip neighbours.
-        self.reach = float(2 * (np.abs(chain[1] - chain[0]).max() + np.abs(chain[:, 1] - chain[:, 0]).max()) + 2 * abs(skip))
+        #: The most that messages can add to a token: two chain neighbours, two equal words and two addresses; and to a candidate: two equal values.
+        self.reach = float(2 * (np.abs(chain[1] - chain[0]).max() + np.abs(chain[:, 1] - chain[:, 0]).max()) + 2 * abs(skip) + 2 * abs(spelt))
+        self.reach_of_values = float(2 * abs(equal))
 
     def score(self, features: list[int]) -> float:
         w = self.weights = self.weights or self.unary.tolist()
@@ -276,42 +319,26 @@ def runs(text: str) -> Iterator[tuple[str, int, str, str]]:
             yield run, a, text[max(0, a - 24) : a].rpartition("\n")[2], text[b : b + 16].partition("\n")[0]
 
 
-_LOW = re.compile(r"(?<![\w@.+'’/-])[^\W\d_]+(?![\w@+'’/-]|\.\w)")
-_LOW_AFTER = re.compile(rf"(?: [^\W\d_]\.)? (?:{_PARTICLE} )?[^\W\d_][\w'’]+(?:-[^\W\d_][\w'’]+)*(?![\w@+-]|\.\w)")
-_LOW_BEFORE = re.compile(rf"(?<![\w@.+'’/-])(?:{_PARTICLE} )?[^\W\d_][\w'’]+(?:-[^\W\d_][\w'’]+)*,? $")
-
-
-_JOINT_ONLY = re.compile(rf"{_PARTICLE},? ")
-
-
 def _capitalized(text: str) -> str:
     """text with each word but particles in capitals at its start, as long as before."""
     out = re.sub(r"(?<![\w'’])(?!(?:de|la|von|van|der|del)\b)[^\W\d_]|(?<=-)[^\W\d_]", lambda m: m.group().upper() if len(m.group().upper()) == 1 else m.group(), text)
     return out
 
 
-def low_runs(text: str, names: frozenset[str]) -> list[list[tuple[str, int, str, str]]]:
-    """For each known first name in lower case, the runs it may make with the word behind or before it, as runs() gives them, capitalized."""
-    out = []
-    for m in _LOW.finditer(text):
-        if m.group() not in names:
-            continue
-        spans = []
-        if (f := _LOW_AFTER.match(text, m.end())) and f.group().islower():
-            spans.append((m.start(), f.end()))
-        if (f := _LOW_BEFORE.search(text, max(0, m.start() - 40), m.start())) and f.group().islower() and not _JOINT_ONLY.fullmatch(f.group()):
-            spans.append((f.start(), m.end()))
-        out.append([_low_run(text, a, b) for a, b in spans])
-    return out
-
-
 def _low_run(text: str, a: int, b: int) -> tuple[str, int, str, str]:
     return _capitalized(text[a:b]), a, text[max(0, a - 24) : a].rpartition("\n")[2], text[b : b + 16].partition("\n")[0]
 
 
-def announced_low_runs(text: str) -> list[list[tuple[str, int, str, str]]]:
-    """The runs in lower case that announcing words stand before, whether or not their words are known."""
-    return [[_low_run(text, *m.span(m.lastindex))] for m in _LOW_ANNOUNCED.finditer(text) if m.group(m.lastindex).islower()]
+def low_runs(text: str) -> list[tuple[str, int, str, str]]:
+    """The runs in lower case that may be names by where they stand, capitalized, as runs() gives them."""
+    found = []
+    for sign in _LOW_SIGN.finditer(text) if not _LOW_WORDS.isdisjoint(text.lower().split()) else ():
+        m = _LOW_NAMED.match(text, sign.end())
+        if m and m.group(1).islower() and (not sign.group(1) or _LOW_END.match(text, m.end())):
+            found.append(m)
+    if (m := _LOW_HEAD.match(text)) and m.group(1).islower():
+        found.append(m)
+    return [_low_run(text, *m.span(1)) for m in found]
 
 
 # ---------------------------------------------------------------------------------------------- training
@@ -338,23 +365,7 @@ def _is_name(docs: int, other: int) -> bool:
     return docs >= 3 and docs * 4 > other
 
 
-def announced_words(document: Sequence[tuple[str, str, str]]) -> tuple[set[str], Counter]:
-    """The words of a document that are announced as parts of names, and those of its other fields with their counts."""
-    first, other = set(), Counter()
-    for column, path, text in document:
-        kind = _kind_of(column, path)
-        other.update(_other_words(kind, text))
-        found = [r for m in _ANNOUNCED.finditer(text) if (r := RUN.match(text, m.end()))]
-        if kind == "summary" and (r := RUN.match(text)) and _AFTER_TITLE.match(text[r.end(1) : r.end(1) + 16].partition("\n")[0]):
-            found.append(r)
-        for r in found:
-            words = [t.lower() for t in _TOKENS.findall(r.group(1))]
-            if 2 <= len(words) <= 4 and _ORG.isdisjoint(words):
-                first.update(w for w in words if len(w) > 2)
-    return first, other
-
-
-def weak_labels(documents: Sequence[Sequence[tuple[str, str, str]]]) -> tuple[list[list[tuple[Run, list[tuple], list[int]]]], set[str]]:
+def weak_labels(documents: Sequence[Sequence[tuple[str, str, str]]]) -> list[list[tuple[Run, list[tuple], list[int]]]]:
     """Labels (1 name, 0 none, -1 unknown) for the runs of documents, which are lists of (column, path, text).
 
     Certain are runs behind words that announce a person; words found there as first names, in at least three documents, then
@@ -399,51 +410,51 @@ def weak_labels(documents: Sequence[Sequence[tuple[str, str, str]]]) -> tuple[li
                 y = [0] * n
             out.append((r, groups, y))
         labelled.append(out)
-    return labelled, names
+    return labelled
 
 
-def train(documents: Sequence[Sequence[tuple[str, str, str]]], epochs: int = 3, rate: float = 0.15, known_names: Iterable[str] | None = None) -> Model:
-    """Fits the field to weakly labelled documents by pseudo-likelihood: each node given its neighbours, AdaGrad steps.
-
-    known_names: what may be a name in lower case; without them, the words announced in these documents.
-    """
+def train(documents: Sequence[Sequence[tuple[str, str, str]]], epochs: int = 3, rate: float = 0.15) -> Model:
+    """Fits the field to weakly labelled documents by pseudo-likelihood: each node given its neighbours, AdaGrad steps. The
+    weights of all edges are learnt with the others."""
     features: list[np.ndarray] = []
     label: list[int] = []
-    before: list[int] = []
-    follow: list[int] = []
-    skips: list[int] = []
+    edges: list[tuple[int, int, int]] = []  # (kind of edge, node, neighbour), a row for each direction
     groups: dict[tuple, np.ndarray] = {}
-    labelled, names = weak_labels(documents)
-    for rows in labelled:
+    for rows, doc in zip(weak_labels(documents), documents):
         seen: dict[str, int] = {}
+        values: dict[str, int] = {}
         for r, own, y in rows:
             for k, keys in enumerate(own):
                 i = len(features)
                 features.append(np.array([f for g in keys for f in (groups[g] if g in groups else groups.setdefault(g, _group(g)))], np.int32))
                 label.append(y[k])
-                before.append(i - 1 if k else -1)
-                follow.append(i + 1 if k + 1 < len(y) else -1)
+                if k:
+                    edges += [(0, i, i - 1), (1, i - 1, i)]
                 w = r.lower[k]
-                skips.append(seen.get(w, -1) if len(w) > 3 else -1)
-                seen[w] = i
-    for doc in documents:
+                if len(w) > 3:
+                    if w in seen:
+                        edges += [(2, i, seen[w]), (2, seen[w], i)]
+                    seen[w] = i
         for _, _, text in doc:
             for kind, a, b in candidates(text):
-                left, right = text[max(0, a - 40) : a].rpartition("\n")[2], text[b : b + 12]
-                y = _candidate_label(kind, text[a:b], left)
-                if y >= 0:
-                    features.append(np.array(_candidate_features(kind, text[a:b], left, right), np.int32))
-                    label.append(y)
-                    before.append(-1)
-                    follow.append(-1)
-                    skips.append(-1)
+                i = len(features)
+                left, right = text[max(0, a - 40) : a].rpartition("\n")[2], text[b : b + 24]
+                features.append(np.array(_candidate_features(kind, text[a:b], left, right), np.int32))
+                label.append(_candidate_label(kind, text[a:b], left, right))
+                v = _value(kind, text[a:b])
+                if v in values:
+                    edges += [(3, i, values[v]), (3, values[v], i)]
+                values[v] = i
+                edges += [e for w in _name_parts(kind, text[a:b]) if w in seen for e in ((4, i, seen[w]), (4, seen[w], i))]
     w = np.zeros(1 << BITS, np.float64)
     g2 = np.full(1 << BITS, 1e-8)
-    pair, pair2 = np.zeros(4), np.full(4, 1e-8)  # left neighbour a name, right neighbour a name, skip neighbour, bias of edges
-    y = np.array(label)
+    pair, pair2 = np.zeros(5), np.full(5, 1e-8)  # left neighbour a name, right neighbour a name, equal word, equal value, spelt with
+    y = np.array(label, np.int64)
     known = np.flatnonzero(y >= 0)
-    sign = lambda i: np.where(i >= 0, np.where(y[i] == 1, 1.0, np.where(y[i] == 0, -1.0, 0.0)), 0.0)
-    side = np.stack([sign(np.array(before)), sign(np.array(follow)), sign(np.array(skips)), np.zeros(len(y))], 1) if len(y) else np.zeros((0, 4))
+    side = np.zeros((len(y), 5))
+    if edges:
+        kind_, node, other = np.array(edges).T
+        np.add.at(side, (node, kind_), np.where(y[other] == 1, 1.0, np.where(y[other] == 0, -1.0, 0.0)))
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         rng.shuffle(known)
@@ -460,15 +471,17 @@ def train(documents: Sequence[Sequence[tuple[str, str, str]]], epochs: int = 3,
             gp = side[part].T @ err
             pair2 += gp**2
             pair = np.clip(pair + rate * gp / np.sqrt(pair2), -1.5, 1.5)
-    both = float(max(0.0, pair[0] + pair[1]) / 2)
+    both = float(pair[0] + pair[1]) / 2
     chain = np.array([[both, -both], [-both, both]]) / 2
-    return Model(w.astype(np.float32), chain, float(max(0.25, min(1.0, pair[2]))), frozenset(n for n in (names if known_names is None else known_names) if len(n) > 2 and not re.fullmatch(_PARTICLE, n)))
+    return Model(w.astype(np.float32), chain, *map(float, pair[2:]))
 
 
-def _candidate_label(kind: str, text: str, left: str) -> int:
-    """1, 0 or -1 (unknown) for a candidate, by the words before it."""
-    if kind in ("email", "address"):
-        return 1
+def _candidate_label(kind: str, text: str, left: str, right: str) -> int:
+    """1, 0 or -1 (unknown) for a candidate, by the words around it."""
+    if kind == "email":
+        return 0 if _NOT_MAIL.search(left) else 1 if "@" in text or _MAIL_LABEL.search(left) else -1
+    if kind == "address":
+        return 1 if _ADDRESS_LABEL.search(left) else 0 if _COUNTED.search(left) or not _ORG.isdisjoint(re.findall(r"[^\W\d_]+", right.lower())[:1]) else 1 if _TOWN.match(right) else -1
     if kind == "phone":
         return 1 if _PHONE_LABEL.search(left) or text[0] == "+" else 0 if _OTHER_LABEL.search(left) else 1 if text.startswith("(") else -1
     return 1 if _ID_LABEL.search(left) else 0
@@ -542,33 +555,30 @@ class Finder:
         return r, [z + after + self._group(("l", l1, l2, min(k, 6))) for k, z in enumerate(base)]
 
     def _line(self, line: str):
-        """(pieces other than names, runs that may hold a name with their scores) of a line."""
+        """(candidates with their scores, values and parts of names, runs that may hold a name with their scores) of a line."""
         got = self.lines.get(line)
         if got is None:
-            pieces = []
+            other = []
             for what, a, b in candidates(line):
-                if what != "email" and self.model.score(_candidate_features(what, line[a:b], line[max(0, a - 40) : a], line[b : b + 12])) <= 0:
-                    continue
-                if what == "phone" and (x := _EXT.match(line, b)):
-                    b = x.end()
-                pieces.append((what, a, b))
+                z = self.model.score(_candidate_features(what, line[a:b], line[max(0, a - 40) : a], line[b : b + 24]))
+                if z > -self.model.reach_of_values:  # else no message could make it one
+                    value, parts = _value(what, line[a:b]), _name_parts(what, line[a:b])
+                    if what == "phone" and (x := _EXT.match(line, b)):
+                        b = x.end()
+                    other.append((what, a, b, z, value, parts))
             held = []
             for run, a, left, right in runs(line):
                 r, s = self._scored(run, left, right)
-                if max(s) >= -self.model.reach:  # else no message could make it a name
+                if max(s) >= -self.model.reach:
                     held.append((a, r, s))
-            either_of = low_runs(line, self.model.names) if not self.model.names.isdisjoint(_LOW.findall(line)) else []
-            if _LOW_SIGN.search(line):
-                either_of += announced_low_runs(line)
-            if either_of:
-                chosen = [max(scored, key=_surest) for either in either_of if (scored := [(a, *self._scored(run, left, right)) for run, a, left, right in either])]
+            if low := low_runs(line):
                 taken: list[tuple[int, int]] = []
-                for a, r, s in sorted(chosen, key=_surest, reverse=True):  # of overlapping ones the surest
+                for a, r, s in sorted([(a, *self._scored(run, left, right)) for run, a, left, right in low], key=_surest, reverse=True):  # of overlapping ones the surest
                     b = a + r.offsets[-1] + len(r.tokens[-1])
-                    if all(b <= p or a >= q for p, q in taken):
+                    if max(s) >= -self.model.reach and all(b <= p or a >= q for p, q in taken):
                         taken.append((a, b))
                         held.append((a, r, s))
-            got = (pieces, held)
+            got = (other, held)
             if len(line) <= 400:
                 self.lines.put(line, got)
         return got
@@ -576,47 +586,75 @@ class Finder:
     def find(self, documents: Sequence[Sequence[tuple[str, str, str]]]) -> list[list[tuple[int, str, int, int]]]:
         """For each document, (index of the text, kind, start, end) of each piece, in order."""
         unary: list[float] = []
-        left_: list[int] = []
-        right_: list[int] = []
-        skip_left: list[int] = []
-        skip_right: list[int] = []
-        held = []
+        chain: list[int] = []  # the left node; the right one is the next
+        skip: list[tuple[int, int]] = []
+        equal: list[tuple[int, int]] = []
+        spelt: list[tuple[int, int]] = []
+        apart: list[tuple[int, int]] = []
+        names, others = [], []
         found: list[list[tuple[int, str, int, int]]] = [[] for _ in documents]
         n = 0
         for d, doc in enumerate(documents):
             seen: dict[str, int] = {}
+            values: dict[str, int] = {}
+            mailed: dict[str, int] = {}
             for t, (column, path, text) in enumerate(doc):
                 at = 0
                 for line in text.split("\n") if "\n" in text else (text,):
-                    pieces, own = self._line(line)
-                    for what, a, b in pieces:
-                        found[d].append((t, what, at + a, at + b))
+                    other, own = self._line(line)
+                    for what, a, b, z, value, parts in other:
+                        unary.append(z)
+                        if value in values:
+                            equal.append((values[value], n))
+                        values[value] = n
+                        for w in parts:
+                            if w in seen:
+                                spelt.append((seen[w], n))
+                            mailed[w] = n
+                        if others and what == "id_number" and others[-1][:3] == (d, t, at) and others[-1][4] == a:
+                            apart.append((n - 1, n))
+                        others.append((d, t, at, what, a, b, n))
+                        n += 1
                     for a, r, s in own:
                         unary += s
                         m = len(s)
-                        left_.extend(range(n, n + m - 1))
-                        right_.extend(range(n + 1, n + m))
+                        chain.extend(range(n, n + m - 1))
                         for k, w in enumerate(r.lower):
                             if len(w) > 3:
                                 if w in seen:
-                                    skip_left.append(seen[w])
-                                    skip_right.append(n + k)
+                                    skip.append((seen[w], n + k))
                                 seen[w] = n + k
-                        held.append((d, t, at, a, r, n, pieces))
+                                if w in mailed:
+                                    spelt.append((n + k, mailed.pop(w)))
+                        names.append((d, t, at, a, r, n))
                         n += m
                     at += len(line) + 1
-        if n:
-            chain, skip = self.model.chain, self.model.skip / 2
-            weight = np.concatenate([np.broadcast_to(chain, (len(left_), 2, 2)), np.broadcast_to(np.array([[skip, -skip], [-skip, skip]]), (len(skip_left), 2, 2))])
-            odds = propagate(np.array(unary), np.array(left_ + skip_left, np.int64), np.array(right_ + skip_right, np.int64), weight)
-            on = odds > 0
-            for d, t, at, a, r, node, pieces in held:
-                mine = on[node : node + len(r.tokens)]
-                if mine.any():
-                    for i, e in _spans(r, mine):
-                        x, y = a + r.offsets[i], a + r.offsets[e - 1] + len(r.tokens[e - 1])
-                        if all(y <= p or x >= q for _, p, q in pieces):
-                            found[d].append((t, "name", at + x, at + y))
+        if not n:
+            return found
+        m = self.model
+        sorts = [(np.stack([np.array(chain, np.int64), np.array(chain, np.int64) + 1], 1), m.chain)]
+        sorts += [(np.array(e, np.int64).reshape(-1, 2), np.array([[w, -w], [-w, w]]) / 2) for e, w in ((skip, m.skip), (equal, m.equal), (spelt, m.spelt))]
+        sorts.append((np.array(apart, np.int64).reshape(-1, 2), np.array([[0.0, 0.0], [0.0, -20.0]])))
+        ends = np.concatenate([e for e, _ in sorts])
+        odds = propagate(np.array(unary), ends[:, 0], ends[:, 1], np.concatenate([np.broadcast_to(w, (len(e), 2, 2)) for e, w in sorts]))
+        pieces: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
+        on = odds > 0
+        last = None
+        for d, t, at, what, a, b, node in others:
+            if not on[node]:
+                continue
+            if what == "id_number" and last == (d, t, at, a):
+                continue  # taken as a phone number
+            last = (d, t, at, a)
+            found[d].append((t, what, at + a, at + b))
+            pieces[d, t, at].append((a, b))
+        for d, t, at, a, r, node in names:
+            mine = on[node : node + len(r.tokens)]
+            if mine.any():
+                for i, e in _spans(r, mine):
+                    x, y = a + r.offsets[i], a + r.offsets[e - 1] + len(r.tokens[e - 1])
+                    if all(y <= p or x >= q for p, q in pieces.get((d, t, at), ())):
+                        found[d].append((t, "name", at + x, at + y))
         for rows in found:
             rows.sort(key=lambda x: (x[0], x[2]))
         return found
@@ -635,41 +673,11 @@ def _document(row: Sequence[str | None], columns: Sequence[str]) -> list[tuple[s
     return [(c, path, text) for c, j in zip(columns, row) if j for path, text in string_leaves(j)]
 
 
-#: The most names that are sent to the workers, the most often announced; some MB.
-MOST_NAMES = 200_000
-
-
-def known_names(resumes: DataFrame, columns: Sequence[str], key: str) -> list[str]:
-    """The words announced as names in at least three rows, counted over all rows: counts by word within each partition, then one shuffle of these."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, other = Counter(), Counter()
-
-        def counted() -> pa.RecordBatch:
-            words = list(first.keys() | other.keys())
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([first[w] for w in words], pa.int64()), pa.array([other[w] for w in words], pa.int64())], ["word", "n", "other"])
-            first.clear()
-            other.clear()
-            return out
-
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                mine, rest = announced_words(_document(row, columns))
-                first.update(mine)
-                other.update(rest)
-            if len(first) + len(other) > 500_000:
-                yield counted()
-        yield counted()
-
-    counts = resumes.select(*columns).mapInArrow(run, "word string, n long, other long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("other").alias("other"))
-    return [r[0] for r in counts.filter("n >= 3 AND n * 4 > other").orderBy(F.col("n").desc(), "word").limit(MOST_NAMES).select("word").collect()]
-
-
 def fit(resumes: DataFrame, columns: Sequence[str], key: str, sample: int = 1200) -> Model:
-    """A model fitted on at most `sample` rows, those of the lowest hash of their key: the bound of the training set. Names in lower case are known from all rows."""
+    """A model fitted on at most `sample` rows, those of the lowest hash of their key: the bound of the training set."""
     chosen = resumes.select(F.col(key).alias("_k")).orderBy(F.xxhash64(F.col("_k").cast("string")), "_k").limit(sample)  # keys only, at most `sample`
     rows = resumes.join(F.broadcast(chosen), F.col(key) == F.col("_k"), "left_semi").select(key, *columns).orderBy(key).collect()
-    return train([_document(r[1:], columns) for r in rows], known_names=known_names(resumes, columns, key))
+    return train([_document(r[1:], columns) for r in rows])
 
 
 def _found(resumes: DataFrame, key: str, columns: Sequence[str], model: Model | None, chunk: int, fields: str, rows_of) -> DataFrame:

@@ -88,7 +88,7 @@ def test_initials_and_forms_of_address(model):
 
 
 def test_lower_case_names(model):
-    texts = ["Ms bojan velborg, Phone: 555-0123", "Zeugnis ausgestellt von elif von novarro im Werk.", "Reference: kilmarth, amara (020 7946 0123)", "we met in the elif of dawn."]
+    texts = ["Ms bojan velborg, Phone: 555-0123", "Mentored by elif von novarro in 2019.", "Reference: kilmarth, amara (020 7946 0123)", "we met in the elif of dawn."]
     found = pii.Finder(model).find([[("parsed_data_json", "misc", t)] for t in texts])
     assert [[t[a:b] for _, k, a, b in rows if k == "name"] for t, rows in zip(texts, found)] == [["bojan velborg"], ["elif von novarro"], ["kilmarth, amara"], []]
 
@@ -99,10 +99,22 @@ def test_lower_case_names_behind_announcing_words(model):
     assert [[t[a:b] for _, k, a, b in rows if k == "name"] for t, rows in zip(texts, found)] == [["a. velborg"], ["b. kilmarth"], ["zuri pellworth"], []]
 
 
-def test_names_are_known_from_all_rows(spark):
-    rng = random.Random(7)
-    docs = [document(rng)[0][0][2] for _ in range(60)] + [f"Ms Quillon {l}" for l in LAST[:3]] + ["Ms Rarely Velborg"] * 2
-    df = spark.createDataFrame([(i, json.dumps({"misc": t}), None) for i, t in enumerate(docs)], "resume_id long, parsed_data_json string, processed_data_json string")
-    known = pii.known_names(df, pii.COLUMNS, "resume_id")
-    assert "quillon" in known and "rarely" not in known
-    assert "quillon" in pii.fit(df, pii.COLUMNS, "resume_id", sample=5).names
+def test_an_equal_value_settles_an_unsure_number(model):
+    doc = [("parsed_data_json", "misc", "SSN: 000-12-4567"), ("parsed_data_json", "raw_text", "Part number 000-12-4567 redesigned.")]
+    with_edge = lambda w, texts: [(t, k) for t, k, _, _ in pii.Finder(pii.Model(model.unary, model.chain, model.skip, w, model.spelt)).find([texts])[0]]
+    assert with_edge(8.0, doc) == [(0, "id_number"), (1, "id_number")]
+    assert with_edge(0.0, doc) == [(0, "id_number")] and with_edge(8.0, doc[1:]) == []
+
+
+def test_weights_of_edges_are_learnt(model):
+    assert model.skip != 0 and model.equal != 0 and model.spelt != 0
+
+
+def test_long_numbers_are_candidates():
+    long = "Passport number: " + "9" * 29
+    assert ("id_number", 17, 46) in pii.candidates(long)
+
+
+def test_a_number_of_both_forms_is_taken_once(model):
+    (rows,) = pii.Finder(model).find([[("parsed_data_json", "misc", "Phone: (617) 555-0143")]])
+    assert [k for _, k, _, _ in rows] == ["phone"]
