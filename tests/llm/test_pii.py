@@ -100,10 +100,15 @@ def test_lower_case_names_behind_announcing_words(model):
 
 
 def test_an_equal_value_settles_an_unsure_number(model):
-    doc = [("parsed_data_json", "misc", "SSN: 000-12-4567"), ("parsed_data_json", "raw_text", "Part number 000-12-4567 redesigned.")]
-    with_edge = lambda w, texts: [(t, k) for t, k, _, _ in pii.Finder(pii.Model(model.unary, model.chain, model.skip, w, model.spelt)).find([texts])[0]]
-    assert with_edge(8.0, doc) == [(0, "id_number"), (1, "id_number")]
-    assert with_edge(0.0, doc) == [(0, "id_number")] and with_edge(8.0, doc[1:]) == []
+    doc = [("parsed_data_json", "misc", "SSN: 000-12-4567"), ("parsed_data_json", "raw_text", "Seen 000-12-4567 there.")]
+
+    def found(weight, texts):
+        m = pii.Model(model.unary, model.chain, model.skip, weight, model.spelt)
+        m.score = lambda f: 3.0 if pii._h("!id_numberLid") in f else -0.5  # sure behind a label, unsure without
+        return [(t, k) for t, k, _, _ in pii.Finder(m).find([texts])[0]]
+
+    assert found(2.0, doc) == [(0, "id_number"), (1, "id_number")]
+    assert found(0.0, doc) == [(0, "id_number")] and found(2.0, doc[1:]) == []
 
 
 def test_weights_of_edges_are_learnt(model):
