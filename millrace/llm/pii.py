@@ -15,6 +15,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -137,8 +138,19 @@ _AROUND = re.compile(r"[\w'’-]+|[^\w\s]")
 
 def _around(left: str, right: str) -> tuple[str, str, str, str]:
     """The last word, and the last two, before a run; the first word, and the first two, behind it."""
-    before, after = _AROUND.findall(left)[-2:], _AROUND.findall(right)[:2]
-    return before[-1].lower() if before else "^", " ".join(before).lower() or "^", after[0].lower() if after else "$", " ".join(after).lower() or "$"
+    return *_before(left), *_after(right)
+
+
+@lru_cache(maxsize=50_000)
+def _before(left: str) -> tuple[str, str]:
+    words = _AROUND.findall(left.lower())[-2:]
+    return (words[-1], " ".join(words)) if words else ("^", "^")
+
+
+@lru_cache(maxsize=50_000)
+def _after(right: str) -> tuple[str, str]:
+    words = _AROUND.findall(right.lower())[:2]
+    return (words[0], " ".join(words)) if words else ("$", "$")
 
 
 class Run:
@@ -336,7 +348,7 @@ def low_runs(text: str) -> list[tuple[str, int, str, str]]:
         m = _LOW_NAMED.match(text, sign.end())
         if m and m.group(1).islower() and (not sign.group(1) or _LOW_END.match(text, m.end())):
             found.append(m)
-    if (m := _LOW_HEAD.match(text)) and m.group(1).islower():
+    if not text[:1].isupper() and (m := _LOW_HEAD.match(text)) and m.group(1).islower():
         found.append(m)
     return [_low_run(text, *m.span(1)) for m in found]
 
@@ -537,6 +549,7 @@ class Finder:
         self.model = model
         self.groups = _Cache(200_000)
         self.runs = _Cache(50_000)
+        self.around = _Cache(50_000)
         self.lines = _Cache(50_000)
 
     def _group(self, g: tuple) -> float:
@@ -550,9 +563,13 @@ class Finder:
             r = Run(run)
             got = self.runs.put(run, (r, [sum(map(self._group, g)) for g in r.groups]))
         r, base = got
-        l1, l2, r1, r2 = _around(left, right)
-        after = self._group(("rr", r1, r2))
-        return r, [z + after + self._group(("l", l1, l2, min(k, 6))) for k, z in enumerate(base)]
+        key = (left, right, len(base))
+        around = self.around.get(key)
+        if around is None:
+            l1, l2, r1, r2 = _around(left, right)
+            after = self._group(("rr", r1, r2))
+            around = self.around.put(key, [after + self._group(("l", l1, l2, min(k, 6))) for k in range(len(base))])
+        return r, list(map(add, base, around))
 
     def _line(self, line: str):
         """(candidates with their scores, values and parts of names, runs that may hold a name with their scores) of a line."""
