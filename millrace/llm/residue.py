@@ -1,25 +1,26 @@
 """Template residue, filler, error pages and script notices among documents.
 
-Messages are mined into templates by a fixed-depth prefix tree; numbers and names are masked, and a masked message is classified
-once, by itself alone. Unfilled slots inside ordinary documents are looked for separately.
+Messages of pages are mined into templates over the whole table by a fixed-depth prefix tree; each template is classified once
+and its verdict joined back to the pages. Unfilled slots inside ordinary documents are looked for separately.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 # Wordings, in lower case with digits as '#', by what they show.
 ERROR = [
     r"\b(?:http|error|fehler|erreur|ошибка|错误|エラー|오류)\s*[:#]*\s*#", r"^\W*#\s*[–—:-]", r"\bnot found\b|nicht gefunden|n'existe plus|introuvable|не найден|no (?:se ha )?encontrad[ao]|não encontrad[ao]|見つかりません|找不到|不存在|찾을 수 없|non trovat[ao]|niet gevonden|nie znaleziono|no existe|não existe|non esiste|n'existe pas|existiert nicht|nicht (?:mehr )?verfügbar|no (?:está )?disponible|indisponible|indisponível|недоступн|不可用|利用できません|δεν βρέθηκε|غير موجودة|नहीं मिला",
     r"\b(?:could|can) ?not be (?:found|loaded|rendered|opened|displayed|shown)\b|\bcan't be (?:displayed|shown|opened|found|loaded)\b|\bcouldn't be (?:found|loaded|rendered|opened|displayed)\b", r"\btimed out\b|\btime-?out\b|\bdid not answer\b|\bdoes not respond\b",
     r"\b(?:was|is) refused by\b|\brestricted to signed|\b(?:temporarily|currently) unavailable\b|\bno longer (?:available|exists|online)\b|\b(?:page|file|posting|link|session|preview|document|attachment|profile|vacancy you opened|search result) has expired\b",
-    r"\b(?:cannot|can't|could not) start\b|\bwill not work\b|\bmoved or deleted\b|\bdoes not exist\b|\bdoesn't exist\b|\bsession has expired\b|\baccess (?:to .{1,60} )?(?:is |was |has been )?denied\b|\bis denied\b|\bunable to (?:load|open|display|find|show|render|process|connect)\b|\b(?:failed|returned|responded|ended) with (?:code|status|error)\b|\breturned (?:status|code|error)\b|\bempty or damaged\b|\bis (?:damaged|corrupted?)\b|\b(?:page|link|request|attachment|download|upload) failed\b|\bservice unavailable\b", r"\bsomething went wrong\b|\ba wrong turn\b|^\W*oops\b|\bdown for maintenance\b|\bunder maintenance\b|\bdatabase connection\b|\btoo many requests\b|\bverify that you are (?:a )?human\b|\baccess denied\b|\bforbidden\b|\bbad gateway\b|\binternal server error\b|\bservice unavailable\b|\bunexpected error\b|\bpage you asked for\b",
+    r"\b(?:cannot|can't|could not) start\b|\bwill not work\b|\bmoved or deleted\b|\bdoes not exist\b|\bdoesn't exist\b|\bsession has expired\b|\baccess (?:to .{1,60} )?(?:is |was |has been )?denied\b|\bis denied\b|\bfailed to (?:load|open|display|render|connect|start|process|fetch|parse)\b|\bunable to (?:load|open|display|find|show|render|process|connect)\b|\b(?:failed|returned|responded|ended) with (?:code|status|error)\b|\breturned (?:status|code|error)\b|\bempty or damaged\b|\bis (?:damaged|corrupted?)\b|\b(?:page|link|request|attachment|download|upload) failed\b|\bservice unavailable\b", r"\bsomething went wrong\b|\ba wrong turn\b|^\W*oops\b|\bdown for maintenance\b|\bunder maintenance\b|\bdatabase connection\b|\btoo many requests\b|\bverify that you are (?:a )?human\b|\baccess denied\b|\bforbidden\b|\bbad gateway\b|\binternal server error\b|\bservice unavailable\b|\bunexpected error\b|\bpage you asked for\b",
     r"traceback \(most recent|\b\w*(?:error|exception)\b: '|\bstack trace\b|\bsegmentation fault\b|\bnull ?pointer",
 ]
 SCRIPT = [
@@ -32,21 +33,22 @@ FILLER = [
     r"texte de remplissage|texto de (?:ejemplo|relleno|exemplo|preenchimento)|aquí va su|示例文本|占位|此处输入|tekst voorbeeld|vervang deze|testo di esempio|ダミー|サンプルテキスト|текст-заполнитель|пример текста|рыба-текст|예시 ?텍스트|exempeltext|tekst zastępczy|δείγμα κειμένου|يوضع النص|नमूना पाठ",
 ]
 AUX = [
-    r"\brefresh\b|\breload\b|\btry again\b|\bgo back\b|\bstart page\b|\bcheck the address\b|\btyped the address\b|\btyping errors\b|\bsite owner\b|\bour engineers\b|\bfew (?:seconds|minutes)\b|\bwait a moment\b|\bback soon\b|\bsign in\b|\blog in again\b|vuelva al inicio|vuelva a intentar|volte ao início|retour à (?:la page d'|l'|la )accueil|réessayez|zurück zur startseite|versuchen sie es|попробуйте (?:позже|снова)|再试|やり直し", r"^\W*(?:error id|ref|reference|quote|ray|ray id|request id|trace id|incident|code)\b[\w .:#-]*$", r"^\W*file \"[^\"]*\", line\b|^\W*at [\w.$]+\(|\bin your (?:browser|settings)\b|^\W*(?:sorry|notice|attention)\W*$|\benable them\b",
-]
-FURNITURE = [
-    r"skip to (?:main )?content", r"menu +login +help|menu|login|help|sign in|log out|search|contact|sitemap", r"home \| jobs \| about|(?:home|jobs|about|careers|news|contact)(?: [|·>/] (?:home|jobs|about|careers|news|contact|privacy))+", r"imprint · privacy|imprint|privacy|privacy policy|terms of use|impressum|datenschutz|cookie settings", r"back to (?:search )?results?|back to top|next|previous", r"© ?#?.{0,80}", r".{1,80} talent portal", r".{1,80} – careers at .{1,80}", r"page # of #|[=\-_*~#· ]{3,}|#",
+    r"\brefresh\b|\breload\b|\btry again\b|\bgo back\b|\bstart page\b|\bcheck the address\b|\btyped the address\b|\btyping errors\b|\bsite owner\b|\bour engineers\b|\bfew (?:seconds|minutes)\b|\bwait a moment\b|\bback soon\b|\bsign in\b|\blog in again\b|vuelva al inicio|vuelva a intentar|volte ao início|retour à (?:la page d'|l'|la )accueil|réessayez|zurück zur startseite|versuchen sie es|попробуйте (?:позже|снова)|再试|やり直し", r"^\W*(?:error id|ref|reference|quote|ray|ray id|request id|trace id|incident|code)\b[\w .:#-]*$", r"^\W*file \"[^\"]*\", line\b|^\W*at [\w.$]+\(|\bin your (?:browser|settings)\b|^\W*(?:updated|supported|modern) browsers?\b|^\W*(?:sorry|notice|attention)\W*$|\benable them\b",
 ]
+#: What stands in the menus and at the ends of pages.
+NAV = "home|jobs|about(?: us)?|careers|news|contact(?: us)?|menu|login|log in|logout|log out|sign in|help|search|sitemap|imprint|privacy(?: policy)?|terms(?: of use)?|impressum|datenschutz|cookie settings"
+LINKS = [r"skip to (?:main )?content", r"back to (?:search )?(?:results?|overview|list|top|home)", rf"(?:{NAV})(?:(?: *[|·>/•-] *| +)(?:{NAV}))+"]
+FURNITURE = [*LINKS, NAV, r"next|previous", r"© ?#?.{0,80}", r"\S.{0,80} (?:talent|careers?|jobs?) (?:portal|site|page|cent(?:er|re))", r".{1,80} [–|-] careers at .{1,80}", r"page # of #|[=\-_*~#· ]{3,}|#"]
 #: Syllables that nonsense in the look of Latin is strung from.
 _LATIN = re.compile(r"(?:am|at|aven|con|cras|cum|dol|dolor|duis|eros|est|et|fer|gra|in|ipsum|ipt|is|lor|lorem|mar|non|nul|null|or|orem|pell|quam|quis|quo|ris|sed|sit|sun|tem|tor|tur|ulm|ultr|um|ut|vel|vem|vit)+")
 _KINDS = [(k, re.compile("|".join(p))) for k, p in (("error", ERROR), ("script", SCRIPT), ("filler", FILLER))]
 _AUX, _FURNITURE = re.compile("|".join(AUX)), re.compile(rf"\W*(?:{'|'.join(FURNITURE)})\W*")
 _EVIDENCE = {w for p in (*ERROR, *SCRIPT, *FILLER, *AUX, *FURNITURE) for w in re.findall(r"[^\W\d_]{2,}", re.sub(r"\\[a-zA-Z]", " ", p))}
-#: A message that tells of somebody's work starts with a verb of the past, but for those that tell of a fault or come in forms.
-_TOLD = re.compile(r"(?i)^[\W\d_]*(?:(?!(?:signed|located|required|dated|based|attached|enclosed|need|red|bed|failed|expired|timed|denied|blocked|disconnected|aborted|forbidden)\b)[a-z]+ed|wrote|built|led|ran|kept|taught|cut|set|held|made|drew|gave|took|found|won|spoke|sent|brought|put|rebuilt|rewrote)\b(?![,:])")
+#: A message that tells of somebody's work starts with a verb of the past; not so those of a fault, of a state, or in forms.
+_TOLD = re.compile(r"(?i)^[\W\d_]*(?:(?!(?:signed|located|required|dated|based|attached|enclosed|need|red|bed|failed|expired|timed|denied|blocked|disconnected|aborted|forbidden|restricted|refused|redirected|rejected|interrupted|disabled|unauthori[sz]ed|(?:updated|supported) browsers?)\b)[a-z]+ed|wrote|built|led|ran|kept|taught|cut|set|held|made|drew|gave|took|found|won|spoke|sent|brought|put|rebuilt|rewrote)\b(?![,:])")
 _LINE = re.compile(r"[^\n\r\f\v\x85\u2028\u2029]+")
 _SENTENCE = re.compile(r"(?<=[.!?])(?<!\b[A-Za-z]\.)[\"'”’)]?\s+(?=\S)|(?<=[。！？])")
-_FURNITURE_INSIDE = re.compile(r"(?i)(skip to main content|menu  ?login  ?help|home \| jobs \| about|imprint · privacy|back to search results|(?<=talent portal)(?= )|(?<=\s)(?=© ?\d{4}))")
+_PAGE_PARTS = re.compile(rf"(?i)(\b(?:{'|'.join(LINKS)})\b|(?<=(?:talent|career) portal)(?= )|(?<=\s)(?=© ?\d{{4}}))")
 _UNSEEN = re.compile("[\u00ad\u180e\u200b\u200c\u2060\ufeff]")
 _SPACE = re.compile("[\u00a0\u2002\u2003\u2007\u2009\u202f\u3000]")
 
@@ -57,47 +59,50 @@ def clean(text: str) -> str:
 
 
 class TemplateTree:
-    """A fixed-depth prefix tree of message templates: token count, then the first tokens, then templates of that leaf.
-
-    A masked message is classified once and remembered. It belongs to a template of its leaf that has its verdict if all
-    constant tokens agree and parameters (numbers, names) stand for the others; else it widens a template of its verdict that
-    shares at least the fraction `similar` of its tokens and differs in parameters only, or starts a new one. Templates give
-    no verdicts: wordings may tell a number from a name, so that a widened template would judge unseen what differs. A verdict
-    depends on the message alone, not on what came before it. A tree starts anew when it holds `most` templates or
-    four times as many messages: that costs time, it changes no verdict.
+    """A fixed-depth prefix tree of message templates: token count, the first tokens, then the templates of that leaf with counts.
+
+    A template is a masked message in which parameters in a row are one. `add` gives it its message's count; `take` empties the tree, so that
+    a worker that adds up its messages first sends each template once.
     """
 
-    def __init__(self, depth: int = 4, similar: float = 0.6, most: int = 50_000):
-        self.depth, self.similar, self.most = depth, similar, most
-        self.leaves: dict[tuple, list[tuple[list[str], str]]] = {}
-        self.known: dict[tuple[str, ...], str] = {}
-        self.size = 0
-
-    def verdict(self, message: str) -> str:
-        tokens = masked(message)
-        key = tuple(tokens)
-        got = self.known.get(key)
-        if got is not None:
-            return got
-        leaf = self.leaves.setdefault((len(tokens), *tokens[: self.depth - 2]), [])
-        kind = classify(" ".join(tokens))
-        if not any(k == kind and all(a == b or a == "<*>" and _parameter(b) for a, b in zip(template, tokens)) for template, k in leaf):
-            near = max((t for t in leaf if t[1] == kind), key=lambda t: sum(a == b for a, b in zip(t[0], tokens)), default=None)
-            if near and all(a == b or _parameter(a) and _parameter(b) for a, b in zip(near[0], tokens)) and sum(a == b for a, b in zip(near[0], tokens)) >= self.similar * len(tokens):
-                near[0][:] = [a if a == b else "<*>" for a, b in zip(near[0], tokens)]
-            else:
-                leaf.append((tokens, kind))
-                self.size += 1
-        if self.size >= self.most or len(self.known) >= 4 * self.most:
-            self.leaves.clear()
-            self.known.clear()
-            self.size = 0
-        self.known[key] = kind
-        return kind
+    def __init__(self, depth: int = 4):
+        self.depth, self.size = depth, 0
+        self.root: dict = {}
+
+    def add(self, template: str, n: int = 1) -> None:
+        tokens = template.split(" ")
+        node = self.root.setdefault(len(tokens), {})
+        for t in tokens[: self.depth - 2]:
+            node = node.setdefault(t, {})
+        leaf = node.setdefault(None, {})
+        if template not in leaf:
+            self.size += 1
+        leaf[template] = leaf.get(template, 0) + n
+
+    def take(self) -> list[tuple[str, int]]:
+        out: list[tuple[str, int]] = []
+        stack = [self.root]
+        while stack:
+            node = stack.pop()
+            out += node.get(None, {}).items()
+            stack.extend(v for k, v in node.items() if k is not None)
+        self.root, self.size = {}, 0
+        return out
 
 
 def _parameter(token: str) -> bool:
-    return token in ("<*>", "*") or "#" in token
+    return token.startswith("*") or "#" in token
+
+
+def template_of(message: str) -> str:
+    """The template of a message: its masked tokens, names in a row as one."""
+    out: list[str] = []
+    for t in masked(message):
+        if out and t.startswith("*") and out[-1] == "*":
+            out[-1] = t
+        else:
+            out.append(t)
+    return " ".join(out)
 
 
 def masked(message: str) -> list[str]:
@@ -108,32 +113,50 @@ def masked(message: str) -> list[str]:
     return [t.lower() if i == 0 or not t[:1].isupper() or t.lower().strip("\"'().,:;!?|") in _EVIDENCE else "*" + t[len(t.rstrip(".,:;!?")) :] for i, t in enumerate(tokens)]
 
 
-def classify(text: str) -> str:
-    """'error', 'script', 'filler', 'aux' (goes with such messages), 'furniture' or 'content', of a masked message."""
-    if _TOLD.search(text):
+def classify(template: str) -> str:
+    """'error', 'script', 'filler', 'aux' (goes with such messages), 'furniture' (a page title too) or 'content', of a template."""
+    if _TOLD.search(template):
         return "content"
     for kind, pattern in _KINDS:
-        if pattern.search(text):
+        if pattern.search(template):
             return kind
-    if _FURNITURE.fullmatch(text):
+    if _FURNITURE.fullmatch(template):
         return "furniture"
-    if _AUX.search(text):
+    if _AUX.search(template):
         return "aux"
-    words = re.findall(r"[^\W\d_]+", text)
+    words = re.findall(r"[^\W\d_]+", template)
     if len(words) >= 3 and (len(set(words)) == 1 or all(set(w) == {"x"} for w in words)):
         return "filler"
     if len(words) >= 4 and sum(bool(_LATIN.fullmatch(w)) for w in words) >= 0.7 * len(words):
         return "filler"
-    if not words:
+    if not words or _TITLE.fullmatch(template):
         return "furniture"
     return "content"
 
 
+#: A page title: a word, then nothing but names.
+_TITLE = re.compile(r"[^\W\d_][\w'’-]* \*")
+#: What words of the wordings start with; of the short ones, which stand beside long ones, only those that may stand alone.
+_STEMS = {w[:4] for w in _EVIDENCE if len(w) >= 4} - {"with", "your", "from", "this", "that", "there"} | {"js", "ref", "ray", "log", "xxx"}
+_WORDS_OF = re.compile(r"[^\W\d_]+")
+
+
+def may_be_residue(template: str) -> bool:
+    """Whether a template may be other than content: quick, and true of all that classify() calls so. Wordings start their words with a
+    stem of the lists; those of other scripts than the Latin one are all tried, as their words have no bounds."""
+    if not template.isascii() and any(c > "\u036f" and not "\u2000" <= c <= "\u206f" for c in template):
+        return classify(template) != "content"
+    words = _WORDS_OF.findall(template)
+    if not words or template.lstrip("*([\"' ").startswith("#") or not _STEMS.isdisjoint([w[:4] for w in words]) or _TITLE.fullmatch(template) or "©" in template or "error:" in template or "exception:" in template:
+        return True
+    return len(set(words)) == 1 or all(set(w) == {"x"} for w in words) or sum(bool(_LATIN.fullmatch(w)) for w in words) >= 0.7 * len(words)
+
+
 def messages(text: str) -> Iterator[str]:
     """The messages of a text: lines and sentences, with page furniture cut off where it runs into them."""
     for m in _LINE.finditer(text):
         line = m.group()
-        for part in _FURNITURE_INSIDE.sub(r"\n\1\n", line).split("\n"):
+        for part in _PAGE_PARTS.sub(r"\n\1\n", line).split("\n"):
             a = 0
             for cut in _SENTENCE.finditer(part):
                 if (message := part[a : cut.start()].strip()):
@@ -143,29 +166,42 @@ def messages(text: str) -> Iterator[str]:
                 yield message
 
 
-def page_verdict(text: str, tree: TemplateTree) -> str | None:
-    """'error', 'script' or 'filler' if the text consists of such messages, page furniture aside; None else."""
-    found = None
+def open_templates(text: str) -> list[str]:
+    """The templates of a text, none twice; none at all if one of them is content for certain."""
+    out: dict[str, None] = {}
     for message in messages(text):
-        kind = tree.verdict(message)
-        if kind == "content":
-            return None
-        if kind in ("error", "script", "filler"):
-            found = found or kind
-    return found
+        template = template_of(message)
+        if template not in out:
+            if not may_be_residue(template):
+                return []
+            out[template] = None
+    return list(out)
+
+
+def of_page(kinds: Iterable[str]) -> str | None:
+    """'error', 'script' or 'filler' if a page's messages are of such kinds, page furniture aside; None else."""
+    kinds = set(kinds)
+    return None if "content" in kinds else next((k for k in ("error", "script", "filler") if k in kinds), None)
+
+
+def page_verdict(text: str) -> str | None:
+    """What residue() says of a text that stands alone, slots aside."""
+    return of_page(map(classify, open_templates(text)))
 
 
 # The notations of slots. A name is what stands for the value to come.
-_NAME = r"[^\W\d_][\w .,/$-]{0,40}"
+_NAME = r"[^\W\d_][\w .,/$-]*"
 _SLOTS = re.compile(
     "|".join(
         [
-            r"\{\{[^{}\n]{1,60}\}\}", r"\{%[^%\n]{1,60}%\}", r"<%[^%\n]{1,60}%>", r"\$\{[^{}\n]{1,60}\}", r"\{[^{}\n/\\\"']{1,60}\}", rf"<<{_NAME}>>", rf"\[\[{_NAME}\]\]", rf"%%{_NAME}%%", rf"@@{_NAME}@@", rf"\*\|{_NAME}\|\*", rf"~~{_NAME}~~", rf"__{_NAME}__", rf"(?<![\w#&])#[^\W\d_][\w .-]{{0,40}}#(?!\w)", r"«[^«»\n]{1,40}»", r"【[^】\n]{1,30}】",
-            r"&lt;[^&\n]{1,40}&gt;", r"(?<!\w)\$[A-Za-z_]{2,30}\$(?!\w)", r"(?<![\w%])%[A-Za-z_]{3,30}%(?!\w)", rf"(?<!\w)<{_NAME}>", r"\[[^\[\]\n]{2,60}\]",
-            r"\((?i:enter|insert|add|type|choose|your|ihr|ihre|votre|tu|su|seu|sua)\s+(?!(?:after|before|at|by|from|in|only|on|to)\b)[^\W\d][\w.-]*(?: [^\W\d][\w.-]*){0,4}\)", r"_{3,} ?\([^()\n]{2,40}\)", r"\bTODO ?:", r"\bX{2,}(?= (?:years?|GmbH|Ltd|Inc|AG|Company|months?|%|people))|\bX{5,}\b", r"\b(?i:insert|enter|add) (?i:\w+ ){1,3}(?i:here)\b", r"(?i:click here to add|tap to add|name surname|month year|mr/mrs <)",
+            r"\{\{[^{}\n]+\}\}", r"\{%[^%\n]+%\}", r"<%[^%\n]+%>", r"\$\{[^{}\n]+\}", r"\{[^{}\n/\\\"']+\}", rf"<<{_NAME}>>", rf"\[\[{_NAME}\]\]", rf"%%{_NAME}%%", rf"@@{_NAME}@@", rf"\*\|{_NAME}\|\*", rf"~~{_NAME}~~", rf"__{_NAME}__", rf"(?<![\w#&])#[^\W\d_][\w .-]*#(?!\w)", r"«[^«»\n]+»", r"【[^】\n]+】",
+            r"&lt;[^&\n]+&gt;", r"(?<!\w)\$[A-Za-z_]{2,}\$(?!\w)", r"(?<![\w%])%[A-Za-z_]{3,}%(?!\w)", rf"(?<!\w)<{_NAME}>", r"\[[^\[\]\n]{2,}\]",
+            r"\((?i:enter|insert|add|type|choose|your|ihr|ihre|votre|tu|su|seu|sua)\s+(?!(?:after|before|at|by|from|in|only|on|to)\b)[^\W\d][\w.-]*(?: [^\W\d][\w.-]*){0,4}\)", r"_{3,} ?\([^()\n]{2,}\)", r"\bTODO ?:", r"\bX{2,}(?= (?:years?|GmbH|Ltd|Inc|AG|Company|months?|%|people))|\bX{5,}\b", r"\b(?i:insert|enter|add) (?i:\w+ ){1,3}(?i:here)\b", r"(?i:click here to add|tap to add|name surname|month year|mr/mrs <)",
         ]
     )
 )
+#: Signs that also enclose prose and quotations: a slot between them has so many words at most, as the name of a value has.
+_PROSE = {"[": 10, "{": 10, "<": 10, "«": 5, "【": 5, "&": 10, "_": 10}
 _SIGNS = ("[", "{", "<", "«", "【", "~~", "%%", "__", "@@", "*|", "&lt;", "XX", "TODO")
 _NAMED_SIGNS = re.compile(r"[$#%][A-Za-z_]")
 _WORDS = (" here", "name surname", "month year", "to add", "(your ", "(enter ", "(insert ", "(add ", "(type ", "(choose ", "(ihr", "(votre ", "(tu ", "(su ", "(seu ", "(sua ")
@@ -204,6 +240,8 @@ def unfilled_slot(text: str) -> str | None:
         b = min((x for x in (text.find("\n", m.end()), text.find("\r", m.end())) if x >= 0), default=len(text))
         cut = [x.end() for x in re.finditer(r"[.!?。]\s+", text[a : m.start()])]
         sentence = text[a + (cut[-1] if cut else 0) : b]
+        if slot[0] in _PROSE and len(slot.split()) > _PROSE[slot[0]]:
+            continue
         if _MARKUP.match(slot) or _DUNDER.fullmatch(slot) or _told(sentence[: m.start() - b + len(sentence)], text[m.end() : b]):
             continue
         if slot[0] == "[" and (_REDACTED.fullmatch(slot.replace(" ", "") if re.match(r"\[ ?\w \w ", slot) else slot) or re.search(r"(?i)\b(?:removed|redacted|masked|screening|withheld)\b", sentence)):
@@ -218,37 +256,70 @@ def unfilled_slot(text: str) -> str | None:
     return None
 
 
-@lru_cache(maxsize=1)
-def _tree() -> TemplateTree:
-    return TemplateTree()
-
-
-def residue(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, kind, evidence): the documents that hold an unfilled slot (kind 'slot') or consist of 'filler', an 'error' message or a
-    notice about scripts ('script').
-
-    Whole texts are read: a page verdict needs every message to be such or furniture, so the first content message settles
-    it. Null, empty and blank texts are no cases. Rows are judged one by one; repeated rows have a row each.
-    """
+def _parsed(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, slot, templates): a row for each document with an unfilled slot, or whose messages may all be residue."""
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = _tree()
         for b in batches:
-            at, kinds, evidence = [], [], []
+            at, slots, templates = [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 if not t or t.isspace():
                     continue
                 t = clean(t)
-                page = page_verdict(t, tree)
-                slot = None if page else unfilled_slot(t)
-                if page or slot:
+                slot, mine = unfilled_slot(t), open_templates(t)
+                if slot or mine:
                     at.append(i)
-                    kinds.append(page or "slot")
-                    evidence.append(slot or t.strip()[:80])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(kinds, pa.string()), pa.array(evidence, pa.string())], [key, "kind", "evidence"])
+                    slots.append(slot)
+                    templates.append(mine)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(slots, pa.string()), pa.array(templates, pa.list_(pa.string()))], [key, "slot", "templates"])
+
+    return documents.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, slot string, templates array<string>")
+
 
-    return documents.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, kind string, evidence string")
+def mined(pages: DataFrame, depth: int = 4, most: int = 50_000) -> DataFrame:
+    """(template, n, kind): the templates of pages (templates array<string>) with the number of pages that have them, each classified once.
+
+    A worker adds its messages up in a fixed-depth tree, emptied at `most` templates; the trees are merged by one aggregation.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = TemplateTree(depth)
+        send = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64()))], ["template", "n"]) if (rows := tree.take()) else None
+        for b in batches:
+            for mine in b.column(0).to_pylist():
+                for t in mine:
+                    tree.add(t)
+            if tree.size >= most and (out := send()):
+                yield out
+        if out := send():
+            yield out
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([classify(t) for t in b.column(0).to_pylist()], pa.string())], ["template", "n", "kind"])
+
+    merged = pages.select("templates").mapInArrow(count, "template string, n long").groupBy("template").agg(F.sum("n").alias("n"))
+    return merged.mapInArrow(judge, "template string, n long, kind string")
+
+
+def residue(documents: DataFrame, key: str = "doc_id", text: str = "text", salts: int = 8) -> DataFrame:
+    """(key, kind, evidence): the documents that hold an unfilled slot (kind 'slot') or consist of 'filler', an 'error' message or a
+    notice about scripts ('script').
+
+    Whole texts are read, in one narrow pass that lets documents go at the first message that can't be residue. The templates of the
+    others, a small part, are mined over the whole table and classified once each; verdicts are joined back by template (salted, as one
+    may be in very many pages) and settle a page: every message must be residue or page furniture. A verdict depends on the template
+    alone, so neither the order of rows nor their partitions change it. Null, empty and blank texts are no cases. Keys should be unique.
+    """
+    parsed = written(_parsed(documents, key, text), "pages")  # read twice: to mine and to judge
+    pages = parsed.filter(F.size("templates") > 0)
+    kinds = mined(pages).select("template", "kind", F.explode(F.array(*map(F.lit, range(salts)))).alias("salt"))
+    told = pages.select(key, F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("salt"), F.explode("templates").alias("template")).join(kinds, ["template", "salt"])
+    page = F.when(F.bool_or(F.col("kind") == "content"), None).when(F.bool_or(F.col("kind") == "error"), "error").when(F.bool_or(F.col("kind") == "script"), "script").when(F.bool_or(F.col("kind") == "filler"), "filler")
+    judged = told.groupBy(key).agg(page.alias("kind"), F.min(F.when(F.col("kind").isin("error", "script", "filler"), F.col("template"))).alias("evidence")).filter("kind IS NOT NULL")
+    slots = parsed.filter("slot IS NOT NULL").select(key, F.lit("slot").alias("kind"), F.col("slot").alias("evidence"))
+    return judged.unionByName(slots.join(judged, key, "left_anti"))
 
 
 def without_residue(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
