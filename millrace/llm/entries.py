@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -113,6 +114,7 @@ class Matcher:
                 self.trie.add(squashed("".join(turned)), entry)
                 self.trie.add(squashed("".join(words[i:]) + "of" + "".join(words[:i])), entry)
         self.most_words = max((len(w) for w in self.words.values()), default=1) + 1
+        self.listed = sorted((words, entry) for entry, words in self.words.items())
         self.known: dict[str, int] = {}
         self.windows: dict[str, list[tuple[int, int, int]]] = {}
 
@@ -120,12 +122,8 @@ class Matcher:
         """(entry, edits, path length) of all entries within the distance of a squashed text."""
         got = self.windows.get(window)
         if got is None:
-            exact = self.trie.find(window)
-            if exact and exact[1]:  # nothing else can score higher
-                got = [(e, 0, len(window)) for e in exact[1]]
-            else:
-                most = max(d for d in range(MOST_EDITS + 1) if d <= allowance(len(window) + d))  # a path d edits away has at most d characters more
-                got = [(e, d, n) for e, (d, n) in self.trie.search(window, most).items()]
+            most = max(d for d in range(MOST_EDITS + 1) if d <= allowance(len(window) + d))  # a path d edits away has at most d characters more
+            got = [(e, d, n) for e, (d, n) in self.trie.search(window, most).items()]
             if len(self.windows) >= self.remembered:
                 self.windows.clear()
             self.windows[window] = got
@@ -170,13 +168,14 @@ class Matcher:
         if not any(t.endswith(".") for t in tokens):
             return -1
         fits = []
-        for entry, words in self.words.items():
-            n = len(words)
-            for i in range(len(tokens) - n + 1):
-                part = tokens[i : i + n]
-                if any(t.endswith(".") for t in part) and all(t == w or t.endswith(".") and len(t) > 2 and w.startswith(t[:-1]) for t, w in zip(part, words)):
-                    fits.append((len("".join(words)), entry))
+        for i, token in enumerate(tokens):
+            start = token[:-1] if token.endswith(".") and len(token) > 2 else token
+            for words, entry in self.listed[bisect_left(self.listed, ([start],)) :]:  # those whose first word starts so stand together
+                if not words[0].startswith(start):
                     break
+                part = tokens[i : i + len(words)]
+                if len(part) == len(words) and any(t.endswith(".") for t in part) and all(t == w or t.endswith(".") and len(t) > 2 and w.startswith(t[:-1]) for t, w in zip(part, words)):
+                    fits.append((len("".join(words)), entry))
         fits.sort()
         if not fits:
             return -1
@@ -184,31 +183,32 @@ class Matcher:
         return fits[0][1] if all("".join(self.words[e]).startswith(first) for _, e in fits) else -1
 
 
-def map_values(df: DataFrame, key: str, fields: Sequence[str], entries: DataFrame, most_entries: int = 100_000) -> DataFrame:
+def map_values(df: DataFrame, key: str, fields: Sequence[str], entries: DataFrame, most_entries: int = 100_000, salts: int = 8) -> DataFrame:
     """(key, field_name, pos, value, skill_id): every element of the array columns that isn't null or blank, with the entry it means, -1 for none.
 
-    entries: skill_id, canonical, variants. The list must be small by nature; more than most_entries are refused, not cut.
-    No row is shuffled: each worker searches the trie, which it gets with the task, and remembers values, so that a value a third of
-    all rows hold is searched once. Null and empty arrays give no rows, repeated rows theirs each. An empty list maps all to -1.
+    entries: skill_id, canonical, variants. The list must be small by nature, as each worker holds its trie; more than most_entries
+    are refused, not cut. Values are made distinct over the whole table before they are searched, each once, and the entries joined
+    back by value, salted, as a third of all rows may hold one value. Of entries that fit equally well the lowest id holds. Null
+    and empty arrays give no rows, repeated rows theirs each. An empty list maps all to -1.
     """
     rows = entries.select("skill_id", "canonical", "variants").filter(F.col("canonical").isNotNull()).orderBy("skill_id").limit(most_entries + 1).collect()
     if len(rows) > most_entries:
         raise ValueError(f"the reference list has more than {most_entries} entries")
     listed = [(r[0], r[1], list(r[2] or ())) for r in rows]
     matcher = [None]
-    kind = df.schema[key].dataType.simpleString()
     named = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("vs")) for f in fields]))
     flat = df.select(F.col(key).alias("_key"), named.alias("_f")).select("_key", "_f.field_name", F.posexplode("_f.vs").alias("pos", "value")).filter(F.col("value").rlike(r"(?U)[^\s\x{200B}\x{FEFF}]"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if matcher[0] is None:
             matcher[0] = Matcher(listed)
-        m = matcher[0]
         for b in batches:
-            ids = [m.match(v) for v in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.int32())], [key, "field_name", "pos", "value", "skill_id"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([matcher[0].match(v) for v in b.column(0).to_pylist()], pa.int32())], ["value", "skill_id"])
 
-    return flat.mapInArrow(run, f"`{key}` {kind}, field_name string, pos int, value string, skill_id int")
+    spread = df.sparkSession.sparkContext.defaultParallelism * 3  # the values are few bytes but much work: not to be coalesced by size
+    meant = flat.select("value").distinct().repartition(spread).mapInArrow(run, "value string, skill_id int").withColumn("_salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    salted = flat.withColumn("_salt", F.pmod(F.xxhash64("_key", "field_name", "pos"), F.lit(salts)).cast("int"))
+    return salted.join(meant, ["value", "_salt"]).select(F.col("_key").alias(key), "field_name", "pos", "value", "skill_id")
 
 
 def unlisted(mapped: DataFrame) -> DataFrame:

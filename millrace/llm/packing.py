@@ -57,29 +57,37 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.n
     return tuple(np.array(c, dtype=np.int64) for c in zip(*rows)) if rows else (np.empty(0, np.int64),) * 4
 
 
-def pack(sizes: DataFrame, key: str, size: str, capacity: int = 1024, buckets: int = 64) -> DataFrame:
+def pack(sizes: DataFrame, key: str, size: str, capacity: int = 1024, bucket_rows: int = 1_000_000) -> DataFrame:
     """(key, piece, n_tokens, container BIGINT): every item, or piece of an item, in a container of the capacity.
 
-    An item larger than the capacity, and no other, is cut into full pieces and a rest. Items of size 0 or null need no room:
-    they go to containers in turn (container 0 if there is no other). Keys should be unique; a repeated key is an item of its
-    own each time. An empty table gives an empty one.
+    An item larger than the capacity, and no other, is cut into full pieces and a rest. A full piece has a container to itself,
+    numbered by partition and place behind the others, without a shuffle. Items of size 0 or null need no room: they go to containers by
+    their key's hash (container 0 if there is no other). Keys should be unique; a repeated key is an item of its own each time. An
+    empty table gives an empty one. sizes is read several times: hand over a written table.
 
-    Only the histogram (at most capacity counts) and its count by bucket (capacity * buckets counts) reach the driver, and
-    patterns joined back as sorted arrays: none grows with the items. Ranks are taken within (length, bucket of the key's
-    hash) and shifted by the counts before it, so that a length that very many items share isn't ranked in one task.
+    The rests are ranked within their length, and a length that more than bucket_rows items share within buckets of the key's
+    hash, so that no task ranks more; ranks are shifted by the counts of the buckets before. To the driver come a count a
+    length (fewer than the capacity) and a count a bucket of the frequent lengths (one in bucket_rows items at most).
     """
-    item = sizes.select(F.col(key), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long").alias("_size"))
-    n_pieces = F.greatest(F.ceil(F.col("_size") / capacity), F.lit(1))
-    cut = item.select(key, "_size", F.explode(F.sequence(F.lit(0), n_pieces.cast("int") - 1)).alias("piece"))
-    cut = cut.select(key, "piece", F.least(F.col("_size") - F.col("piece").cast("long") * capacity, F.lit(capacity)).cast("int").alias("n_tokens"), F.pmod(F.xxhash64(key, "piece"), F.lit(buckets)).cast("int").alias("_bucket"))
-    counted = {(r[0], r[1]): r[2] for r in cut.groupBy("n_tokens", "_bucket").count().collect()}
-    histogram: dict[int, int] = {}
-    offset = np.zeros((capacity + 1, buckets), dtype=np.int64)
-    for (length, bucket), n in sorted(counted.items()):
-        offset[length, bucket] = histogram.get(length, 0)
-        histogram[length] = histogram.get(length, 0) + n
+    n = F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long")
+    item = sizes.select(F.col(key), n.alias("_size"))
+    rest = item.filter(F.col("_size") % capacity > 0).select(key, F.floor(F.col("_size") / capacity).cast("int").alias("piece"), (F.col("_size") % capacity).cast("int").alias("n_tokens"))
+    histogram = {r[0]: r[1] for r in rest.groupBy("n_tokens").count().collect()}
+    parts = np.ones(capacity, dtype=np.int64)
+    for length, count in histogram.items():
+        parts[length] = -(-count // bucket_rows)
+    most = int(parts.max())
+    by_length = F.element_at(F.lit(parts.tolist()), F.col("n_tokens") + 1)
+    rest = rest.withColumn("_bucket", F.pmod(F.xxhash64(key, "piece"), by_length).cast("int") if most > 1 else F.lit(0))
+    offset = np.zeros((capacity, most), dtype=np.int64)
+    if most > 1:
+        frequent = [length for length in histogram if parts[length] > 1]
+        counts = np.zeros((capacity, most), dtype=np.int64)
+        for length, bucket, count in rest.filter(F.col("n_tokens").isin(frequent)).groupBy("n_tokens", "_bucket").count().collect():
+            counts[length, bucket] = count
+        offset = np.cumsum(counts, axis=1) - counts
     patterns = pack_histogram(histogram, capacity)
-    total = max(1, sum(n for _, n in patterns))
+    total = sum(n for _, n in patterns)
     length, first, start, each = slots(patterns)
     code = length * (1 << 44) + first
 
@@ -87,23 +95,24 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = 1024, buckets: i
         for b in batches:
             n, bucket, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n_tokens", "_bucket", "_rank"))
             rank = rank + offset[n, bucket]
-            container = rank % total
-            some = n > 0
-            at = np.searchsorted(code, n[some] * (1 << 44) + rank[some], side="right") - 1
-            container[some] = start[at] + (rank[some] - first[at]) // each[at]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(container)], [key, "piece", "n_tokens", "container"])
+            at = np.searchsorted(code, n * (1 << 44) + rank, side="right") - 1
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(start[at] + (rank - first[at]) // each[at])], [key, "piece", "n_tokens", "container"])
 
     order = Window.partitionBy("n_tokens", "_bucket").orderBy(key, "piece")
-    ranked = cut.withColumn("_rank", (F.row_number().over(order) - 1).cast("long")).select(key, "piece", "n_tokens", "_bucket", "_rank")
+    ranked = rest.withColumn("_rank", (F.row_number().over(order) - 1).cast("long")).select(key, "piece", "n_tokens", "_bucket", "_rank")
     kind = sizes.schema[key].dataType.simpleString()
-    return ranked.mapInArrow(run, f"`{key}` {kind}, piece int, n_tokens int, container bigint")
+    packed = ranked.mapInArrow(run, f"`{key}` {kind}, piece int, n_tokens int, container bigint")
+    full = item.filter(F.col("_size") >= capacity).select(key, F.explode(F.sequence(F.lit(0), F.floor(F.col("_size") / capacity).cast("int") - 1)).alias("piece"))
+    full = full.select(key, "piece", F.lit(capacity).alias("n_tokens"), (F.monotonically_increasing_id() + total).alias("container"))
+    empty = item.filter("_size = 0").select(key, F.lit(0).alias("piece"), F.lit(0).alias("n_tokens"), F.pmod(F.xxhash64(key), F.lit(max(1, total))).alias("container"))
+    return packed.unionByName(full).unionByName(empty)
 
 
-def pack_documents(documents: DataFrame, capacity: int = 1024, vocabulary: str | None = None, buckets: int = 64) -> DataFrame:
+def pack_documents(documents: DataFrame, capacity: int = 1024, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, piece, n_tokens, container) of documents, measured in tokens of a public vocabulary.
 
     The lengths are written once to the shared folder: both the histogram and the ranks read them.
     """
     from .bpe import lengths
 
-    return pack(written(lengths(documents, vocabulary=vocabulary), "token-lengths"), "doc_id", "n_tokens", capacity, buckets)
+    return pack(written(lengths(documents, vocabulary=vocabulary), "token-lengths"), "doc_id", "n_tokens", capacity)

@@ -195,15 +195,21 @@ def _group(key: tuple) -> list[int]:
 @lru_cache(maxsize=10_000)
 def _label(left: str) -> str:
     """What the words before a number say that it is."""
+    if not any(c.isalpha() or c == "#" for c in left[-15:]):  # no label ends further away
+        return "none"
     return "id" if _ID_LABEL.search(left) else "phone" if _PHONE_LABEL.search(left) else "other" if _OTHER_LABEL.search(left) else "none"
 
 
+_SHAPES = {**dict.fromkeys(map(ord, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "A"), **dict.fromkeys(map(ord, "0123456789"), "#")}
+_LOWS, _HASHES, _WORDS_BEFORE = re.compile("[a-z]+"), re.compile("#+"), re.compile(r"[^\W\d_]+|[^\w\s]")
+
+
 def _candidate_features(kind: str, text: str, left: str, right: str) -> list[int]:
-    shape = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "#", text)))
-    words = re.findall(r"[^\W\d_]+|[^\w\s]", left)[-4:]
+    shape = _LOWS.sub("a", text.translate(_SHAPES))
+    words = _WORDS_BEFORE.findall(left)[-4:]
     label = _label(left)
-    after = re.findall(r"[\w'’-]+|[^\w\s]", right)[:1]
-    f = [f"!{kind}", f"!{kind}s{shape}", f"!{kind}s{shape[:5]}", f"!{kind}t{re.sub('#+', '#', shape)}", f"!{kind}L{label}", f"!{kind}L{label}{shape[:3]}", f"!{kind}n{sum(c.isdigit() for c in text)}", *(f"!{kind}w{w.lower()}" for w in words), f"!{kind}l1{words[-1].lower() if words else '^'}", f"!{kind}r1{after[0].lower() if after else '$'}"]
+    after = _AROUND.match(right.lstrip())
+    f = [f"!{kind}", f"!{kind}s{shape}", f"!{kind}s{shape[:5]}", f"!{kind}t{_HASHES.sub('#', shape)}", f"!{kind}L{label}", f"!{kind}L{label}{shape[:3]}", f"!{kind}n{sum(c.isdigit() for c in text)}", *(f"!{kind}w{w.lower()}" for w in words), f"!{kind}l1{words[-1].lower() if words else '^'}", f"!{kind}r1{after.group().lower() if after else '$'}"]
     return [_h(x) for x in f]
 
 
@@ -274,7 +280,7 @@ class Model:
         self.unary, self.chain, self.skip, self.equal, self.spelt = unary, chain, skip, equal, spelt
         self.weights: list[float] = []
         #: The most that messages can add to a token: two chain neighbours, two equal words and two addresses; and to a candidate: two equal values.
-        self.reach = float(2 * (np.abs(chain[1] - chain[0]).max() + np.abs(chain[:, 1] - chain[:, 0]).max()) + 2 * abs(skip) + 2 * abs(spelt))
+        self.reach = float(2 * np.abs(chain[1] - chain[0]).max() + 2 * abs(skip) + 2 * abs(spelt))
         self.reach_of_values = float(2 * abs(equal))
 
     def score(self, features: list[int]) -> float:
@@ -615,6 +621,7 @@ class Finder:
             seen: dict[str, int] = {}
             values: dict[str, int] = {}
             mailed: dict[str, int] = {}
+            linked: set[int] = set()
             for t, (column, path, text) in enumerate(doc):
                 at = 0
                 for line in text.split("\n") if "\n" in text else (text,):
@@ -625,7 +632,8 @@ class Finder:
                             equal.append((values[value], n))
                         values[value] = n
                         for w in parts:
-                            if w in seen:
+                            if w in seen and seen[w] not in linked:
+                                linked.add(seen[w])
                                 spelt.append((seen[w], n))
                             mailed[w] = n
                         if others and what == "id_number" and others[-1][:3] == (d, t, at) and others[-1][4] == a:

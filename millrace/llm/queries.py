@@ -27,7 +27,7 @@ def p2_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Those that aren't equal to a canonical name."""
-    names = F.broadcast(_read(spark, sf_dir, "skill_taxonomy").select(F.col("canonical").alias("value")))  # a fixed list, refused by map_values if large
+    names = _read(spark, sf_dir, "skill_taxonomy").select(F.col("canonical").alias("value"))
     return p2_mapped(spark, sf_dir).join(names, "value", "left_anti").select("criteria_id", "field_name", "pos", "skill_id")
 
 

@@ -12,21 +12,23 @@ def top_n_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
     """Keeps the n first items of each group; all of a smaller group. Adds nothing and drops no column.
 
     group: columns of the group (null is a group of its own). order: a total order of items, ties broken by an identifier.
-    item: the identifier; rows that share it within a group are one item, of which one row stays.
+    item: the identifier; rows that share it within a group are one item, of which one row stays. They have to agree in what the
+    order looks at (those that don't take a place each before they are merged).
 
-    A group is hashed on the identifier into subgroups. One shuffle brings a subgroup together; there repeated rows are
-    merged and all but the n first dropped, so the second shuffle carries at most n * subgroups rows of a group, however
-    many it had. Empty input gives empty output. Columns named like the two helper columns are kept apart.
+    A group is hashed on the identifier into subgroups. Rows of the n first places of a subgroup are kept, repeated ones on
+    one place; each task does so with its own rows before the first shuffle, which thus carries at most n places a subgroup and task.
+    Then repeated rows are merged, and the survivors ranked: at most n * subgroups rows of a group, however many it had.
+    Empty input gives empty output. Columns named like the two helper columns are kept apart.
     """
     salt, pos = _free(df, "salt"), _free(df, "pos")
-    parted = df.withColumn(salt, F.pmod(F.xxhash64(item), F.lit(subgroups))).repartition(*group, salt)
-    # hash partitioning on (group, salt) also serves the grouping on (group, salt, item): no further shuffle
-    rest = [c for c in df.columns if c not in {*group, item}]
-    one = parted.groupBy(*group, salt, item).agg(*[F.first(c).alias(c) for c in rest]) if rest else parted.dropDuplicates([*group, salt, item])
     first = Window.partitionBy(*group, salt).orderBy(*order)
     last = Window.partitionBy(*group).orderBy(*order)
-    kept = one.withColumn(pos, F.row_number().over(first)).filter(F.col(pos) <= n).drop(pos, salt)
-    return kept.withColumn(pos, F.row_number().over(last)).filter(F.col(pos) <= n).drop(pos).select(*df.columns)
+    salted = df.withColumn(salt, F.pmod(F.xxhash64(item), F.lit(subgroups)))
+    best = salted.withColumn(pos, F.dense_rank().over(first)).filter(F.col(pos) <= n).drop(pos)  # limited by group before the exchange too
+    # hash partitioning on (group, salt) also serves the grouping on (group, salt, item): no further shuffle
+    rest = [c for c in df.columns if c not in {*group, item}]
+    one = best.groupBy(*group, salt, item).agg(*[F.first(c).alias(c) for c in rest]) if rest else best.dropDuplicates([*group, salt, item])
+    return one.drop(salt).withColumn(pos, F.row_number().over(last)).filter(F.col(pos) <= n).drop(pos).select(*df.columns)
 
 
 def _free(df: DataFrame, name: str) -> str:

@@ -41,9 +41,12 @@ def check(rows, out, capacity):
 
 
 def test_pack(spark):
-    rows = [(1, 5), (2, 0), (3, None), (4, 25), (5, 10), (6, 3), (7, 7), (8, -1), *[(100 + i, 4) for i in range(300)]]
+    rows = [(9, 30), (10, 10), (11, 10), (1, 5), (2, 0), (3, None), (4, 25), (5, 10), (6, 3), (7, 7), (8, -1), *[(100 + i, 4) for i in range(300)]]
     df = spark.createDataFrame(rows, "id long, size int")
-    out = pack(df, "id", "size", 10, 4).collect()
-    check(rows, out, 10)
+    for bucket_rows in (1_000_000, 40):  # one bucket a length, and several for the frequent one
+        out = pack(df, "id", "size", 10, bucket_rows).collect()
+        check(rows, out, 10)
+        full = [r.container for r in out if r.n_tokens == 10]
+        assert len(full) == len(set(full)) == 8  # a full piece is alone
     assert pack(df.limit(0), "id", "size", 10).count() == 0
     assert pack(df.filter("id = 2"), "id", "size", 10).collect()[0].container == 0
