@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 from ..session import written
 
 # Private-use characters frame the index of a span and mark cuts; those that a text holds itself are escaped first, so that nothing can collide.
-_QUOTED, _KEPT, _END, _CUT = "\ue000", "\ue001", "\ue002", "\ue003"
+_QUOTED, _KEPT, _END, _CUT, _OPENS = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
 _MARK = r"(?:[-–—*•●▪‣◦·]|\(?\d{1,3}[.)])"
 _DELIMITER = ",;|¦·•/\\t\\n\\r，、"
-_OPEN = rf"(?<=(?:^|[{_DELIMITER}\[(]|[\"'](?=\s)|(?:[-–—*•●]|\d[.)])(?=\s))\s{{0,8}})"
-_CLOSE = rf"(?=\s*(?:$|[{_DELIMITER}\]])|\s+[\"'])"
+#: Where a quote may open a value: behind the start, a delimiter, a list mark or another value's quote, however many spaces follow.
+_BEFORE_QUOTE = rf"((?:^|[{_DELIMITER}\[(]|[\"'](?=\s)|(?:[-–—*•●]|\d[.)])(?=\s))\s*)(?=[\"'])"
+_CLOSE = rf"(?=\s*(?:$|[{_DELIMITER}\]])|\s+{_OPENS}?[\"'])"
+_MARKS = rf"(?<!\\){_OPENS}"
 #: What is put aside before splitting: quoted values, escaped characters, bracketed groups, thousands separators.
 SPANS = "|".join(
     [
-        rf'{_OPEN}"(?:[^"\\]|\\.|"")*"{_CLOSE}',
-        rf"{_OPEN}'(?:[^'\\]|\\.|''|'(?=\w))*'{_CLOSE}",
+        rf'{_OPENS}"(?:[^"\\]|\\.|"")*"{_CLOSE}',
+        rf"{_OPENS}'(?:[^'\\]|\\.|''|'(?=\w))*'{_CLOSE}",
         r"\\.",
         r"\([^()]*\)",
         r"(?<=\d),(?=\d{3}(?!\d))",
@@ -27,6 +29,8 @@ SPANS = "|".join(
 )
 #: Delimiters of unmarked lists; a slash counts only between spaces, spaces only if two or more.
 SPLIT = rf"\s*(?:[\n\r\t;|¦，、•·,{_CUT}]|\s/\s|\s{{2,}})\s*"
+#: Parts that the joins by value are dealt into, as one value may be a hot key.
+SALTS = 8
 CONJUNCTIONS = ("and", "&", "und", "et", "y")
 
 
@@ -42,7 +46,7 @@ def _placed(text: Column, spans: Column) -> Column:
         kind = F.when(F.get(spans, i).rlike(r"^[\"'].*[\"']$") & (F.length(F.get(spans, i)) >= 2), F.lit(_QUOTED)).otherwise(F.lit(_KEPT))
         return F.when(i < F.size(spans), F.concat(part, kind, i.cast("string"), F.lit(_END))).otherwise(part)
 
-    return F.array_join(F.transform(parts, one), "")
+    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(F.transform(parts, one), ""))
 
 
 def _restored(item: Column, spans: Column, json: Column) -> Column:
@@ -52,7 +56,7 @@ def _restored(item: Column, spans: Column, json: Column) -> Column:
 
     def span(i: Column) -> Column:
         s = F.get(spans, F.get(held, i).cast("int"))
-        plain = F.regexp_replace(s, r"\\([\ue000-\ue003])", "$1")
+        plain = F.regexp_replace(s, r"\\([\ue000-\ue004])", "$1")
         return F.when(s.startswith("\\") & (F.length(s) == 2), F.substring(s, 2, 1)).otherwise(plain)
 
     joined = F.array_join(F.transform(parts, lambda p, i: F.when(i < F.size(held), F.concat(p, span(i))).otherwise(p)), "")
@@ -61,13 +65,13 @@ def _restored(item: Column, spans: Column, json: Column) -> Column:
     inner = F.substring(whole, F.lit(2), F.length(whole) - 2)
     plain = F.regexp_replace(F.replace(inner, F.concat(quote, quote), quote), r"\\(.)", "$1")
     decoded = F.when(json, F.coalesce(F.get(F.from_json(F.concat(F.lit("["), whole, F.lit("]")), "array<string>"), F.lit(0)), plain)).otherwise(plain)
-    return F.when(item.rlike(f"^{_QUOTED}\\d+{_END}$"), decoded).otherwise(joined)
+    return F.when(~item.contains(_END), item).when(item.rlike(f"^{_QUOTED}\\d+{_END}$"), decoded).otherwise(joined)
 
 
 def _marked(rows: DataFrame) -> DataFrame:
     """rows with the trimmed text, whether it is a JSON array, and _marked: the text with list marks replaced by cuts, if marked."""
     c = F.col
-    rows = rows.withColumn("_trimmed", F.regexp_replace(_trim(F.replace("raw", F.lit("\r\n"), F.lit("\n"))), "[\ue000-\ue003]", r"\\$0"))
+    rows = rows.withColumn("_trimmed", F.regexp_replace(_trim(F.replace("raw", F.lit("\r\n"), F.lit("\n"))), "[\ue000-\ue004]", r"\\$0"))
     rows = rows.withColumn("_json", c("_trimmed").rlike(r'(?s)^\[\s*".*"\s*\]$'))
     rows = rows.withColumn("_body", F.when(c("_json"), F.regexp_replace("_trimmed", r"^\[\s*|\s*\]$", "")).otherwise(c("_trimmed")))
     rows = rows.withColumn("_numbers", F.when(c("_body").rlike(r"^\(?1[.)]\s"), F.regexp_extract_all("_body", F.lit(r"(?:^|(?<=\s))\(?(\d{1,3})[.)]\s"), F.lit(1))))
@@ -94,12 +98,14 @@ def split_values(df: DataFrame, key: str, fields: Sequence[str], conjunctions: S
     """
     named = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("raw")) for f in fields]))
     rows = df.select(F.col(key).alias("_key"), named.alias("_f")).select("_key", "_f.field_name", "_f.raw").filter(F.col("raw").rlike(r"\S"))
-    rows = _marked(rows).withColumn("_spans", F.regexp_extract_all("_text", F.lit(SPANS), F.lit(0)))
+    rows = _marked(rows)
+    opened = F.when(F.col("_text").rlike("[\"']"), F.regexp_replace("_text", _BEFORE_QUOTE, f"$1{_OPENS}")).otherwise(F.col("_text"))
+    rows = rows.withColumn("_opened", opened).withColumn("_spans", F.transform(F.regexp_extract_all("_opened", F.lit(SPANS), F.lit(0)), lambda x: F.regexp_replace(x, _MARKS, "")))
     return _finish(rows, key, conjunctions)
 
 
 def _finish(rows: DataFrame, key: str, conjunctions: Sequence[str]) -> DataFrame:
-    placed = F.regexp_replace(_placed(F.col("_text"), F.col("_spans")), f"{_END}\\s+(?={_QUOTED})", f"{_END}{_CUT}")
+    placed = F.regexp_replace(F.regexp_replace(_placed(F.col("_opened"), F.col("_spans")), _MARKS, ""), f"{_END}\\s+(?={_QUOTED})", f"{_END}{_CUT}")
     listed = F.when(F.col("_marked").isNotNull(), F.transform(F.split(F.col("_placed"), _CUT, -1), lambda x: F.regexp_replace(x, r"[\s,;]+$", ""))).otherwise(
         F.transform(F.split(F.col("_placed"), SPLIT, -1), lambda x: F.regexp_replace(x, rf"^{_MARK}\s+", ""))
     )
@@ -114,17 +120,19 @@ def _finish(rows: DataFrame, key: str, conjunctions: Sequence[str]) -> DataFrame
     rows = rows.withColumn("_items", F.when(oxford, F.concat(F.slice("_items", 1, F.size("_items") - 1), F.array(F.regexp_replace(last, rf"^(?i:{word})\s+", "")))).otherwise(F.col("_items")))
     rows = rows.withColumn("_unsure", F.col("_open") & ~oxford & last.rlike(rf"\S\s+(?i:{word})\s+\S"))
     rows = written(rows.select("_key", "field_name", "_items", "_unsure"), "split-values")  # read three times below
-    # every (prefix, suffix) of an unsure last value around a conjunction
-    cuts = _cuts(last, word)
+    # distinct unsure last values, and whether they stand in a list of three or more; every (prefix, suffix) of one around a conjunction
     sure = rows.select(F.explode(F.when(F.col("_unsure"), F.slice("_items", 1, F.size("_items") - 1)).otherwise(F.col("_items"))).alias("v"))
     known = sure.select(F.lower("v").alias("v")).distinct()
-    unsure = rows.filter("_unsure").select("_key", "field_name", F.size("_items").alias("_n"), F.posexplode(cuts).alias("_at", "_cut"))
-    asked = unsure.select("_key", "field_name", "_n", "_at", "_cut", F.explode(F.array(*[F.struct(F.lit(i).alias("role"), F.lower(c).alias("v")) for i, c in enumerate([F.concat_ws(" ", "_cut.left", "_cut.by", "_cut.right"), F.col("_cut.left"), F.col("_cut.right")])])).alias("q"))
-    asked = asked.select("*", "q.role", "q.v").drop("q")
-    told = asked.join(known.withColumn("_seen", F.lit(True)), "v", "left").groupBy("_key", "field_name", "_n", "_at", "_cut").agg(*[F.coalesce(F.bool_or(F.when(F.col("role") == i, F.coalesce("_seen", F.lit(False)))), F.lit(False)).alias(f"_k{i}") for i in range(3)])
-    good = told.filter(~F.col("_k0") & ((F.col("_k1") & F.col("_k2")) | ((F.col("_n") > 1) & (F.col("_k1") | F.col("_k2")))))
-    best = good.groupBy("_key", "field_name").agg(F.min_by("_cut", F.struct((~(F.col("_k1") & F.col("_k2"))).alias("a"), F.col("_at"))).alias("_cut"))
-    rows = rows.join(best, ["_key", "field_name"], "left")
+    rows = rows.withColumns({"_last": F.when(F.col("_unsure"), last), "_many": F.size("_items") > 1, "_salt": F.pmod(F.xxhash64("_key", "field_name"), F.lit(SALTS)).cast("int")})
+    cuts = rows.filter("_unsure").select("_last", "_many").distinct().select("_last", "_many", F.posexplode(_cuts(F.col("_last"), word)).alias("_at", "_cut"))
+    roles = [F.concat_ws(" ", "_cut.left", "_cut.by", "_cut.right"), F.col("_cut.left"), F.col("_cut.right")]
+    asked = cuts.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("role"), F.lower(c).alias("v")) for i, c in enumerate(roles)])).alias("_q")).select("*", "_q.role", "_q.v").drop("_q")
+    seen = asked.select("v").distinct().join(known, "v", "left_semi").withColumn("_seen", F.lit(True))  # distinct values on both sides
+    told = asked.join(seen, "v", "left").groupBy("_last", "_many", "_at", "_cut").agg(*[F.coalesce(F.bool_or(F.when(F.col("role") == i, F.coalesce("_seen", F.lit(False)))), F.lit(False)).alias(f"_k{i}") for i in range(3)])
+    good = told.filter(~F.col("_k0") & ((F.col("_k1") & F.col("_k2")) | (F.col("_many") & (F.col("_k1") | F.col("_k2")))))
+    best = good.groupBy("_last", "_many").agg(F.min_by("_cut", F.struct((~(F.col("_k1") & F.col("_k2"))).alias("a"), F.col("_at"))).alias("_cut"))
+    best = best.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))  # one last value may be in very many fields
+    rows = rows.join(best, ["_last", "_many", "_salt"], "left")
     items = F.when(F.col("_cut").isNotNull(), F.concat(F.slice("_items", 1, F.size("_items") - 1), F.array("_cut.left", "_cut.right"))).otherwise(F.col("_items"))
     rows = rows.withColumn("_items", items)
     return rows.select(F.col("_key").alias(key), "field_name", F.size("_items").alias("n_values"), F.posexplode("_items").alias("pos", "item")).select(key, "field_name", "pos", "item", "n_values")
