@@ -1,12 +1,19 @@
-"""Text normalization as column expressions. Null gives null unless stated otherwise. White space and word characters are ASCII."""
+"""Text normalization as column expressions. Null gives null unless stated otherwise. Words are of any script: letters, numbers and _."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Lines that carry no content.
-BOILERPLATE = ("resume|cv|curriculum vitae", "personal information|contact information", "objective|summary|profile", "references available upon request", r"page [0-9]+ of [0-9]+", "confidential|private", "draft|template")
+#: White space and word characters of any script, as they stand within a class of either dialect.
+WS = r"\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+W = r"\p{L}\p{N}_"
+# Lines that carry no content; the last kind counts as a header, but isn't scrubbed with personal data.
+SCRUBBED = ("resume|cv|curriculum vitae", "personal information|contact information", "objective|summary|profile", "references available upon request", r"page [0-9]+ of [0-9]+", "confidential|private")
+BOILERPLATE = (*SCRUBBED, "draft|template")
 SEPARATORS = (" at ", " @ ", " - ", " – ", " — ", " | ", ", ")
 #: Years and spans of them, as written in resumes.
 DATE_RANGE = r"(?i)(?:(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* |[0-9]{1,2}/)?(?:19|20)[0-9]{2} ?(?:-|–|—|to) ?(?:(?:(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* |[0-9]{1,2}/)?(?:19|20)[0-9]{2}|present|current|now)"
@@ -16,25 +23,49 @@ def _sub(c: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(c, pattern, by)
 
 
+def _let(value: Column, of) -> Column:
+    """of(value), with the value computed once a row, however often `of` uses it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def tokens(c: Column) -> Column:
     """Lower-case runs of ASCII letters and digits."""
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def trimmed(c: Column) -> Column:
+    """c without white space of any kind at its ends."""
+    return _sub(c, f"^[{WS}]+|[{WS}]+$", "")
+
+
+# The steps of each normalization, (pattern, by), in this order.
+PREPROCESSED = ((f"[{WS}]+", " "), (rf"[^{W}{WS}.,;:!?-]", ""), (r"[.,;:!?]+", " "), (f"[{WS}]+", " "))
+FOR_DENSE = ((f"[{WS}]+", " "), (rf"[^{W}{WS}.#+/-]", " "), (f"[{WS}]+", " "))
+DEHYPHENATED = ((rf"([{W}]+)-[{WS}]*\n[{WS}]*([{W}]+)", "$1$2"),)
+BULLETS = ((f"^[•▪▫*-]+[{WS}]*", "● "), (f"●[{WS}]*●[{WS}]*", "● "), (f"^●([^{WS}])", "● $1"), ("(st|nd|rd|th)●", "$1 ●"))
+SPACING = ((f"[{WS}]+", " "), (r" ([,.;:!?])", "$1"), (r"([,.;:!?]) ?([a-zA-Z])", "$1 $2"), (r" ?\( ?", " ("), (r" ?\) ?", ") "))
+NONSENSE = (("(st|nd|rd|th)(nd|rd|th|st)[●•*-]*", "$1"), (rf"(?<![{W}])(?:st|nd|rd|th)(?![{W}])(?![{WS}]+[{W}])", ""), ("[●•*-]{2,}", "●"))
+
+
+def _steps(c: Column, steps) -> Column:
+    for pattern, by in steps:
+        c = _sub(c, pattern, by)
+    return c
+
+
 def preprocessed(c: Column) -> Column:
-    """Lower case, one space for any white space, only letters, digits, space and .,;:!?-, then punctuation to spaces."""
-    kept = _sub(_sub(F.lower(F.trim(c)), r"[\s]+", " "), r"[^a-z0-9_\s.,;:!?-]", "")
-    return F.trim(_sub(_sub(kept, r"[.,;:!?]+", " "), r"\s+", " "))
+    """Lower case, one space for any white space, only letters and numbers of any script, _, space and .,;:!?-, then punctuation to spaces."""
+    return trimmed(_steps(trimmed(F.lower(c)), PREPROCESSED))
 
 
 def for_dense_models(c: Column) -> Column:
-    """Case kept; everything but ASCII word characters, white space and . # + / - becomes a space; white space collapsed."""
-    return F.trim(_sub(_sub(c, r"[^A-Za-z0-9_\s.#+/-]", " "), r"\s+", " "))
+    """Case kept; everything but word characters, white space and . # + / - becomes a space; white space collapsed."""
+    return trimmed(_steps(trimmed(c), FOR_DENSE))
 
 
 def dehyphenated(c: Column) -> Column:
     """Words broken at a line end joined again."""
-    return _sub(c, r"([A-Za-z0-9_]+)-\s*\n\s*([A-Za-z0-9_]+)", "$1$2")
+    return _steps(c, DEHYPHENATED)
 
 
 def unified_bullets(c: Column) -> Column:
@@ -44,16 +75,16 @@ def unified_bullets(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """The trimmed lines that aren't empty."""
-    return F.filter(F.transform(F.split(c, r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"\r\n|\n|\r"), trimmed), lambda x: x != "")
 
 
 def split_tokens(c: Column) -> Column:
     """Values between commas, semicolons and slashes, trimmed, the empty ones left out."""
-    return F.filter(F.transform(F.split(c, "[,;/]"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, "[,;/]"), trimmed), lambda x: x != "")
 
 
-def is_boilerplate(line: Column) -> Column:
-    return F.lower(line).rlike(f"^(?:{'|'.join(BOILERPLATE)})$")
+def is_boilerplate(line: Column, kinds=BOILERPLATE) -> Column:
+    return F.lower(line).rlike(f"^(?:{'|'.join(kinds)})$")
 
 
 def without_boilerplate(c: Column) -> Column:
@@ -65,19 +96,23 @@ def scrubbed(c: Column) -> Column:
     c = _sub(c, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]")
     c = _sub(c, r"(\+?1[-. ]?)?\(?[0-9]{3}\)?[-. ]?[0-9]{3}[-. ]?[0-9]{4}", "[PHONE]")
     c = _sub(_sub(c, r"https?://[^\s]+", "[URL]"), r"www\.[^\s]+", "[URL]")
-    return F.array_join(F.filter(lines(c), lambda x: ~is_boilerplate(x)), " ")
+    return F.array_join(F.filter(lines(c), lambda x: ~is_boilerplate(x, SCRUBBED)), " ")
 
 
 def joined_lines(c: Column) -> Column:
-    """A line that doesn't end a sentence is joined with the next one if that starts in lower case; each line takes part once."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(False).alias("open"))
+    """A line that doesn't end a sentence is joined with the next one if that starts in lower case; each line takes part once.
+
+    Lines that could be joined with the next are marked in a string, on which a regular expression takes pairs from the left.
+    """
 
-    def step(acc: Column, line: Column) -> Column:
-        last = F.try_element_at(acc["done"], F.lit(-1))
-        joins = ~acc["open"] & last.isNotNull() & ~last.rlike(r"[.!?:;]$") & line.rlike("^[a-z]")
-        return F.when(joins, F.struct(F.concat(F.slice(acc["done"], F.lit(1), F.size(acc["done"]) - 1), F.array(F.concat_ws(" ", last, line))).alias("done"), F.lit(True).alias("open"))).otherwise(F.struct(F.concat(acc["done"], F.array(line)).alias("done"), F.lit(False).alias("open")))
 
-    return F.array_join(F.aggregate(lines(c), start, step, lambda acc: acc["done"]), "\n")
+    def flags(ls: Column) -> Column:
+        return F.transform(ls, lambda x, i: F.when((i + 1 < F.size(ls)) & ~x.rlike(r"[.!?:;]$") & F.coalesce(F.get(ls, i + 1).rlike(r"^\p{Ll}"), F.lit(False)), "1").otherwise("0"))
+
+    def joined(ls: Column, marks: Column) -> Column:  # T takes the next line, K is taken, in pairs from the left
+        return F.array_join(F.transform(ls, lambda x, i: F.concat(F.when(i == 0, "").when(F.get(marks, i) == "K", " ").otherwise("\n"), x)), "")
+
+    return _let(lines(c), lambda ls: _let(F.split(F.regexp_replace(F.array_join(flags(ls), ""), "1[01]", "TK"), ""), lambda marks: joined(ls, marks)))
 
 
 def word_chunks(c: Column, size: int = 393) -> Column:
@@ -90,15 +125,51 @@ def word_chunks(c: Column, size: int = 393) -> Column:
 def fixed_ordinals(c: Column) -> Column:
     """Ordinals that extraction garbled: doubled endings, endings cut off or run into bullets."""
     c = _sub(c, r"([0-9]+)(st|nd|rd|th)(nd|rd|th|st)", "$1$2")
-    c = _sub(c, r"(?<![A-Za-z0-9_])(st|nd|rd|th)(nd|rd|th|st)(?![A-Za-z0-9_])", "$1")
+    c = _sub(c, rf"(?<![{W}])(st|nd|rd|th)(nd|rd|th|st)(?![{W}])", "$1")
     c = _sub(c, r"(st|nd|rd|th)[●•*-]+", "$1")
-    return _sub(c, r"([0-9]+)\s+(st|nd|rd|th)(?![A-Za-z0-9_])", "$1$2")
+    return _sub(c, rf"([0-9]+)[{WS}]+(st|nd|rd|th)(?![{W}])", "$1$2")
+
+
+def fixed_bullets(c: Column) -> Column:
+    """One bullet sign, with a space behind it, not doubled, and parted from an ordinal before it."""
+    return _steps(c, BULLETS)
 
 
 def fixed_spacing(c: Column) -> Column:
-    c = _sub(_sub(c, r"\s+", " "), r"\s+([,.;:!?])", "$1")
-    c = _sub(c, r"([,.;:!?])\s*([a-zA-Z])", "$1 $2")
-    return F.trim(_sub(_sub(c, r"\s*\(\s*", " ("), r"\s*\)\s*", ") "))
+    """One space for any white space, none before punctuation, one behind it before a letter, and one around brackets."""
+    return trimmed(_steps(c, SPACING))
+
+
+def without_nonsense(c: Column) -> Column:
+    """Doubled and stray ordinal endings, and rows of bullets, removed."""
+    return trimmed(_steps(c, NONSENSE))
+
+
+def composed(c: Column) -> Column:
+    """Compatibility forms resolved and accents composed (NFKC). Spark has no built-in; only texts beyond ASCII go to Python, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def nfkc(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return F.when(F.length(c) == F.octet_length(c), c).otherwise(nfkc(c))
+
+
+def preprocessed_resume(c: Column) -> Column:
+    """Composed, words joined at line ends, wrapped lines joined, one bullet sign, one space for any white space. The text is composed first, so
+    hand over a column that is (`composed`)."""
+    return trimmed(_sub(unified_bullets(joined_lines(dehyphenated(c))), f"[{WS}]+", " "))
+
+
+def canonical_resume_text(*sections: Column) -> Column:
+    """The sections that aren't empty, joined and preprocessed."""
+    return preprocessed(F.concat_ws(" \n ", *[F.nullif(x, F.lit("")) for x in sections]))
+
+
+def resume_text(raw: Column, *sections: Column) -> Column:
+    """The sections that aren't empty, in the order given, joined by a space; the raw text where none is."""
+    joined = F.concat_ws(" ", *[F.nullif(trimmed(x), F.lit("")) for x in sections])
+    return F.coalesce(F.nullif(joined, F.lit("")), raw)
 
 
 def header_key(c: Column) -> Column:

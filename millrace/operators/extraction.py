@@ -118,3 +118,34 @@ def reading_order(elements: DataFrame, page: str, x: str, y: str, tie: str | Non
     cut = F.when((F.col("_g._gap") > F.greatest(0.15 * width, F.lit(least_gap))) & (F.abs(F.col("_g._mid") - (F.col("_lo") + F.col("_hi")) / 2) <= 0.35 * width), F.col("_g._mid"))
     placed = elements.join(widest.select(page, cut.alias("_cut")), page, "left").withColumn("column", F.when(F.col(x) >= F.col("_cut"), 1).otherwise(0)).drop("_cut")
     return placed.withColumn("ord", F.row_number().over(Window.partitionBy(page).orderBy("column", y, x, *([tie] if tie else []))))
+
+
+# Parts of addresses, anywhere in a line, by which it is taken for contact data.
+ADDRESS_PARTS = "street|avenue|road|drive|lane|blvd|ave|st|rd|dr"
+# Two letters of states, anywhere in a short part of a line between bars or bullets.
+STATE_PARTS = "ca|ny|tx|fl|il|pa|oh|ga|nc|mi"
+_MAIL, _TELEPHONE = r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", r"(?U)\b[0-9]{3}[-.]?[0-9]{3}[-.]?[0-9]{4}\b"
+
+
+def has_contact(line: Column) -> Column:
+    """Whether a line gives a way to reach somebody: mail, telephone, profile, address; or two such parts between bars or bullets."""
+    low = F.lower(line)
+    reach = lambda x: x.rlike(_MAIL) | x.rlike(_TELEPHONE)
+    parts = F.transform(F.split(line, "[|•]"), T.trimmed)
+    near = F.size(F.filter(parts, lambda p: reach(p) | ((F.length(p) < 30) & F.lower(p).rlike(STATE_PARTS))))
+    profile = line.rlike(r"https?://|www\.") & low.rlike("linkedin|github")
+    return reach(line) | profile | low.rlike(ADDRESS_PARTS) | line.rlike(r"(?U)[A-Za-z\s],\s*[A-Za-z]{2}\s*[0-9]{5}\b") | (line.rlike("[|•]") & (near >= 2))
+
+
+def coherent(text: Column) -> Column:
+    """Whether a text has a word and no garbled ordinals or rows of bullets."""
+    return (F.length(text) >= 2) & text.rlike(f"[{T.W}]") & ~text.rlike(rf"(?:st|nd|rd|th){{2,}}|[●•*-]{{3,}}|(?<![{T.W}])(?:st|nd|rd|th)$|^[●•*-]+$")
+
+
+def cleaned(lines: DataFrame, column: str) -> DataFrame:
+    """lines with item: the cleaned line; rows whose line is short contact data, or has nothing coherent left, are left out."""
+    line = F.col(column)
+    kept = lines.filter(~(has_contact(line) & (F.length(line) < 100)))
+    for step in (T.fixed_ordinals, T.fixed_bullets, T.fixed_spacing, T.without_nonsense):
+        kept = kept.withColumn("item", step(F.col("item") if "item" in kept.columns else line))
+    return kept.filter(coherent(F.col("item")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import extraction as X
 from ..sources import schemas as S
-from .texts import _LINES, _WS, _sql_cut
+from .texts import sql_lines, _WS, _sql_cut
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (line_classes, extracted_roles, education_lines, person_names, section_headers, section_headers_fuzzy, skill_items, page_order)}
 
-_E = f"l AS (SELECT doc_id, {_LINES.format(c='text')} AS ls FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, (unnest(range(1, len(ls) + 1)) - 1)::INT AS pos, unnest(ls) AS line FROM l)"
+_E = f"l AS (SELECT doc_id, {sql_lines('text')} AS ls FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, (unnest(range(1, len(ls) + 1)) - 1)::INT AS pos, unnest(ls) AS line FROM l)"
 _YEAR = "regexp_matches(line, '(?:^|[^0-9])(?:19|20)[0-9]{2}(?:$|[^0-9])')"
 _IS = {
     "is_bullet": "regexp_matches(line, '^[•●*-][ \\t]')", "is_contact": f"regexp_matches(lower(line), '{X.CONTACT}')", "is_training": f"regexp_matches(lower(line), '{X._word(X.TRAINING)}')",
@@ -81,10 +81,10 @@ SQL = {
         SELECT doc_id, block, max({_sql_cut(0)}) FILTER (op) AS title, max({_sql_cut(1)}) FILTER (op) AS company, max({_DATES}) FILTER (op) AS dates, count(*) FILTER (bu) AS n_bullets FROM w GROUP BY doc_id, block
     """,
     "education_lines": f"WITH {_E}, m AS (SELECT *, ({_IS['is_school']} OR {_IS['is_degree']}) AND NOT {_IS['is_training']} AS op FROM e), b AS (SELECT *, sum(op::INT) OVER (PARTITION BY doc_id ORDER BY pos)::INT AS block FROM m) SELECT doc_id, pos, block, line FROM b WHERE op",
-    "person_names": f"WITH l AS (SELECT doc_id, {_LINES.format(c='text')} AS ls FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, list_filter(ls[1:10], lambda x: regexp_matches(x, '^[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ''’-]+(?: [A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ''’-]*){{1,3}}$') AND NOT regexp_matches(lower(x), '{_TABOO}'))[1] AS name FROM l) SELECT doc_id, name FROM n WHERE name IS NOT NULL",
+    "person_names": f"WITH l AS (SELECT doc_id, {sql_lines('text')} AS ls FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, list_filter(ls[1:10], lambda x: regexp_matches(x, '^[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ''’-]+(?: [A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ''’-]*){{1,3}}$') AND NOT regexp_matches(lower(x), '{_TABOO}'))[1] AS name FROM l) SELECT doc_id, name FROM n WHERE name IS NOT NULL",
     "section_headers": f"WITH {_E}, s AS (SELECT doc_id, pos, CASE {_CASES} END AS section FROM e) SELECT * FROM s WHERE section IS NOT NULL",
     "skill_items": f"""
-        WITH l AS (SELECT doc_id, list_filter({_LINES.format(c="text")}, lambda x: starts_with(lower(x), 'skills:')) AS ls FROM documents WHERE text IS NOT NULL),
+        WITH l AS (SELECT doc_id, list_filter({sql_lines("text")}, lambda x: starts_with(lower(x), 'skills:')) AS ls FROM documents WHERE text IS NOT NULL),
         v AS (SELECT doc_id, flatten(list_transform(ls, lambda x: list_filter(list_transform(string_split_regex(substr(x, 8), '[,;/]'), lambda y: trim(y, ' ')), lambda y: y <> ''))) AS vs FROM l),
         e AS (SELECT doc_id, (unnest(range(1, len(vs) + 1)) - 1)::INT AS pos, unnest(vs) AS item FROM v) SELECT doc_id, pos, item FROM e QUALIFY row_number() OVER (PARTITION BY doc_id, lower(item) ORDER BY pos) = 1
     """,

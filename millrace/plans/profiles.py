@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import profile as P
 from ..sources import schemas as S
+from .texts import sql_lines
 from .skills import RESUME
 
 
@@ -144,7 +145,6 @@ _SP = ", ".join(f"{_hits('t', v)} AS c_{k}" for k, v in P.SPECIALIZATIONS.items(
 _SPN = [f"c_{k}" for k in P.SPECIALIZATIONS]
 _LEVEL = "CASE " + " ".join(f"WHEN regexp_matches(lower(title), '{P.pattern(w)}') THEN {i}" for i, w in enumerate(P.LEVELS.values())) + " END"
 _ROLES = f"{RESUME}, ro AS (SELECT resume_id, (unnest(range(1, len(p.experience) + 1)) - 1)::INT AS pos, unnest(p.experience) AS e FROM r), e AS (SELECT resume_id, pos, e.title AS title, e.bullets AS bullets FROM ro)"
-_LN = "list_filter(list_transform(string_split_regex({c}, '\\r\\n|\\n|\\r'), lambda x: trim(x, ' ')), lambda x: x <> '')"
 _RAREW = ", ".join(f"'{w}'" for w in P.RARE.split())
 SQL = {
     "seniority": f"""
@@ -199,7 +199,7 @@ SQL = {
         SELECT resume_id, section, max(CASE WHEN header THEN lower(regexp_replace(line, ':$', '')) END) AS header, count(*) FILTER (NOT header) AS n_lines, sum(CASE WHEN header THEN 0 ELSE length(line) END)::BIGINT AS n_chars FROM s GROUP BY resume_id, section
     """,
     "grouped_items": f"""
-        WITH l AS (SELECT doc_id, {_LN.format(c="text")} AS ls FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, (unnest(range(1, len(ls) + 1)) - 1)::INT AS pos, unnest(ls) AS line FROM l),
+        WITH l AS (SELECT doc_id, {sql_lines("text")} AS ls FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, (unnest(range(1, len(ls) + 1)) - 1)::INT AS pos, unnest(ls) AS line FROM l),
         i AS (SELECT *, sum((regexp_matches(line, '^(?:[•●*-]|[0-9]{{1,3}}[.)])[ \\t]') OR pos = 0)::INT) OVER (PARTITION BY doc_id ORDER BY pos)::INT AS item FROM e)
         SELECT doc_id, item, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars, min(pos) AS first_pos FROM i GROUP BY doc_id, item
     """,

@@ -17,7 +17,7 @@ from .narratives import SQL as _NARRATIVES
 from .profiles import SQL as _PROFILES
 from .profiles import evidence_ranked
 from .skills import _FORMS, _W
-from .texts import _LINES
+from .texts import sql_lines
 
 
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ SQL = {
         SELECT doc_id, skill, context, CASE WHEN len(ws) <= 8 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[1:6], ' ') END AS quote FROM w
     """,
     "posting_sections": f"""
-        WITH l AS (SELECT job_id, {_LINES.format(c="description")} AS ls FROM job_postings WHERE description IS NOT NULL), e AS (SELECT job_id, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM l),
+        WITH l AS (SELECT job_id, {sql_lines("description")} AS ls FROM job_postings WHERE description IS NOT NULL), e AS (SELECT job_id, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM l),
         h AS (SELECT *, CASE {_CASES} END AS header FROM e), s AS (SELECT *, coalesce(last_value(header IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'body') AS section FROM h)
         SELECT job_id, section, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM s WHERE header IS NULL GROUP BY job_id, section
     """,

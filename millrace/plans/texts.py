@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import extraction as E
+from ..sources import schemas as S
 from ..session import spread
 
 QUERIES: dict = {}
@@ -27,27 +29,49 @@ def _scalar(name: str, f, sql: str) -> None:
     SQL[name] = f"SELECT doc_id, {sql} AS out FROM documents"
 
 
-# the same steps in the other dialect; white space is ASCII in both
-_LINES = "list_filter(list_transform(string_split_regex({c}, '\\r\\n|\\n|\\r'), lambda x: trim(x, ' ')), lambda x: x <> '')"
-_BOILER = "regexp_matches(lower(x), '^(?:" + "|".join(T.BOILERPLATE) + ")$')"
+# the same steps in the other dialect
+def sql_steps(expr: str, steps) -> str:
+    for pattern, by in steps:
+        expr = f"regexp_replace({expr}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
+    return expr
+
+
+def sql_trim(expr: str) -> str:
+    return f"regexp_replace({expr}, '^[{T.WS}]+|[{T.WS}]+$', '', 'g')"
+
+
 _WS = "[ \\t\\n\\x0B\\f\\r]"
+def sql_lines(c: str) -> str:
+    return f"list_filter(list_transform(string_split_regex({c}, '\\r\\n|\\n|\\r'), lambda x: {sql_trim('x')}), lambda x: x <> '')"
 
-_scalar("preprocess_text", T.preprocessed, f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(text, ' ')), '{_WS}+', ' ', 'g'), '[^a-z0-9_ .,;:!?-]', '', 'g'), '[.,;:!?]+', ' ', 'g'), ' +', ' ', 'g'), ' ')")
-_scalar("dense_preprocess", T.for_dense_models, f"trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9_ \\t\\n\\x0B\\f\\r.#+/-]', ' ', 'g'), '{_WS}+', ' ', 'g'), ' ')")
-_scalar("dehyphenate", T.dehyphenated, f"regexp_replace(text, '([A-Za-z0-9_]+)-{_WS}*\\n{_WS}*([A-Za-z0-9_]+)', '\\1\\2', 'g')")
-_scalar("normalize_bullets", T.unified_bullets, "regexp_replace(translate(text, '●▪▫◦‣⁃∙', '•••••••'), '(?m)^[ \\t]*[-*][ \\t]+', '• ', 'g')")
-_scalar("boilerplate_filter", T.without_boilerplate, f"array_to_string(list_filter({_LINES.format(c='text')}, lambda x: NOT {_BOILER}), chr(10))")
+
+_BOILER = "regexp_matches(lower(x), '^(?:{kinds})$')"
+# a joined line: pairs of lines that could go on in the next, taken from the left
+_JOINED = """
+    SELECT doc_id, CASE WHEN ls IS NOT NULL THEN coalesce(array_to_string(list_transform(ls, lambda x, i: CASE WHEN i = 1 THEN '' WHEN marks[i:i] = 'K' THEN ' ' ELSE chr(10) END || x), ''), '') END AS joined FROM (
+        SELECT doc_id, ls, regexp_replace(array_to_string(list_transform(ls, lambda x, i: CASE WHEN i < len(ls) AND NOT regexp_matches(x, '[.!?:;]$') AND regexp_matches(ls[i + 1], '^\\p{Ll}') THEN '1' ELSE '0' END), ''), '1[01]', 'TK', 'g') AS marks
+        FROM (SELECT doc_id, """ + sql_lines("text") + """ AS ls FROM documents))
+"""
+_UNIFIED = "regexp_replace(translate({c}, '●▪▫◦‣⁃∙', '•••••••'), '(?m)^[ \\t]*[-*][ \\t]+', '• ', 'g')"
+
+_scalar("preprocess_text", T.preprocessed, sql_trim(sql_steps(sql_trim("lower(text)"), T.PREPROCESSED)))
+_scalar("dense_preprocess", T.for_dense_models, sql_trim(sql_steps(sql_trim("text"), T.FOR_DENSE)))
+_scalar("dehyphenate", T.dehyphenated, sql_steps("text", T.DEHYPHENATED))
+_scalar("normalize_bullets", T.unified_bullets, _UNIFIED.format(c="text"))
+_scalar("boilerplate_filter", T.without_boilerplate, f"array_to_string(list_filter({sql_lines('text')}, lambda x: NOT {_BOILER.format(kinds='|'.join(T.BOILERPLATE))}), chr(10))")
 _scalar(
     "scrub_pii",
     T.scrubbed,
     "array_to_string(list_filter("
-    + _LINES.format(
-        c="regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '(\\+?1[-. ]?)?\\(?[0-9]{3}\\)?[-. ]?[0-9]{3}[-. ]?[0-9]{4}', '[PHONE]', 'g'), 'https?://[^ \\t\\n\\x0B\\f\\r]+', '[URL]', 'g'), 'www\\.[^ \\t\\n\\x0B\\f\\r]+', '[URL]', 'g')"
+    + sql_lines(
+        "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '(\\+?1[-. ]?)?\\(?[0-9]{3}\\)?[-. ]?[0-9]{3}[-. ]?[0-9]{4}', '[PHONE]', 'g'), 'https?://[^ \\t\\n\\x0B\\f\\r]+', '[URL]', 'g'), 'www\\.[^ \\t\\n\\x0B\\f\\r]+', '[URL]', 'g')"
     )
-    + f", lambda x: NOT {_BOILER}), ' ')",
+    + f", lambda x: NOT {_BOILER.format(kinds='|'.join(T.SCRUBBED))}), ' ')",
 )
-_scalar("fix_spacing", T.fixed_spacing, f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{_WS}+', ' ', 'g'), ' +([,.;:!?])', '\\1', 'g'), '([,.;:!?]) *([a-zA-Z])', '\\1 \\2', 'g'), ' *\\( *', ' (', 'g'), ' *\\) *', ') ', 'g'), ' ')")
-_scalar("fix_ordinals", T.fixed_ordinals, f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([0-9]+)(st|nd|rd|th)(nd|rd|th|st)', '\\1\\2', 'g'), '\\b(st|nd|rd|th)(nd|rd|th|st)\\b', '\\1', 'g'), '(st|nd|rd|th)[●•*-]+', '\\1', 'g'), '([0-9]+){_WS}+(st|nd|rd|th)\\b', '\\1\\2', 'g')")
+_scalar("fix_spacing", T.fixed_spacing, sql_trim(sql_steps("text", T.SPACING)))
+_scalar("fix_bullets", T.fixed_bullets, sql_steps("text", T.BULLETS))
+_DOUBLED = (f"(^|[^{T.W}])(st|nd|rd|th)(nd|rd|th|st)([^{T.W}]|$)", "$1$2$4")  # taken twice, as neighbours share a character
+_scalar("fix_ordinals", T.fixed_ordinals, sql_steps("text", ((r"([0-9]+)(st|nd|rd|th)(nd|rd|th|st)", "$1$2"), _DOUBLED, _DOUBLED, (r"(st|nd|rd|th)[●•*-]+", "$1"), (f"([0-9]+)[{T.WS}]+(st|nd|rd|th)([^{T.W}]|$)", "$1$2$3"))))
 
 
 def chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,12 +99,12 @@ def line_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["line_frequency_filter"] = f"""
-    WITH l AS (SELECT doc_id, {_LINES.format(c="text")} AS ls FROM documents WHERE text IS NOT NULL),
+    WITH l AS (SELECT doc_id, {sql_lines("text")} AS ls FROM documents WHERE text IS NOT NULL),
     e AS (SELECT doc_id, (unnest(range(1, len(ls) + 1)) - 1)::INT AS pos, unnest(ls) AS line FROM l)
     SELECT doc_id, pos, line FROM e QUALIFY count(*) OVER (PARTITION BY doc_id, lower(line)) <= 3
 """
 SQL["line_frequencies"] = f"""
-    WITH l AS (SELECT doc_id, unnest(list_distinct(list_transform({_LINES.format(c="text")}, lambda x: lower(x)))) AS line FROM documents WHERE text IS NOT NULL)
+    WITH l AS (SELECT doc_id, unnest(list_distinct(list_transform({sql_lines("text")}, lambda x: lower(x)))) AS line FROM documents WHERE text IS NOT NULL)
     SELECT line, count(*) AS n_docs FROM l GROUP BY line HAVING count(*) > 3
 """
 
@@ -103,7 +127,7 @@ def _sql_cut(which: int) -> str:
 
 
 SQL["line_fields"] = f"""
-    WITH l AS (SELECT doc_id, {_LINES.format(c="text")} AS ls FROM documents WHERE text IS NOT NULL),
+    WITH l AS (SELECT doc_id, {sql_lines("text")} AS ls FROM documents WHERE text IS NOT NULL),
     e AS (SELECT doc_id, (unnest(range(1, len(ls) + 1)) - 1)::INT AS pos, unnest(ls) AS line FROM l),
     w AS (SELECT *, regexp_replace(trim(line, ' '), '^[-|•]+|[-|•]+$', '', 'g') AS w, regexp_extract(line, '{T.DATE_RANGE}', 0) AS span, regexp_extract_all(line, '\\b((?:19|20)[0-9]{{2}})\\b', 1) AS ys FROM e)
     SELECT doc_id, pos, regexp_matches(line, '^[•●*-][ \\t]') AS is_bullet, trim(regexp_replace(regexp_replace(lower(line), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g'), '{_WS}+', ' ', 'g'), ' ') AS header_key,
@@ -120,8 +144,8 @@ def first_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts.select("post_id", F.posexplode("vs").alias("pos", "item"), low.alias("low")).filter(F.array_position("low", F.lower("item")) == F.col("pos") + 1).select("post_id", "pos", "item")
 
 
-SQL["first_occurrence"] = """
-    WITH v AS (SELECT post_id, list_filter(list_transform(string_split_regex(keywords, '[,;/]'), lambda x: trim(x, ' ')), lambda x: x <> '') AS vs FROM jd_criteria_raw WHERE keywords IS NOT NULL),
+SQL["first_occurrence"] = f"""
+    WITH v AS (SELECT post_id, list_filter(list_transform(string_split_regex(keywords, '[,;/]'), lambda x: {sql_trim('x')}), lambda x: x <> '') AS vs FROM jd_criteria_raw WHERE keywords IS NOT NULL),
     e AS (SELECT post_id, (unnest(range(1, len(vs) + 1)) - 1)::INT AS pos, unnest(vs) AS item FROM v)
     SELECT post_id, pos, item FROM e QUALIFY row_number() OVER (PARTITION BY post_id, lower(item) ORDER BY pos) = 1
 """
@@ -129,12 +153,12 @@ SQL["first_occurrence"] = """
 
 def canonical_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The must-have skills of each criteria in lower case, trimmed, without repeats, sorted, as one string."""
-    skills = F.sort_array(F.array_distinct(F.filter(F.transform("must_have_skills", lambda x: F.lower(F.trim(x))), lambda x: x.isNotNull() & (x != ""))))
+    skills = F.sort_array(F.array_distinct(F.filter(F.transform("must_have_skills", lambda x: F.lower(T.trimmed(x))), lambda x: x.isNotNull() & (x != ""))))
     return spark.read.parquet(f"{sf_dir}/jd_criteria.parquet").select("criteria_id", F.array_join(skills, "|").alias("skills"), F.substring(F.md5(F.concat_ws("|", F.lower("position_title"), F.array_join(skills, "|"))), 1, 12).alias("jd_hash"))
 
 
-SQL["canonical_list"] = """
-    WITH s AS (SELECT criteria_id, position_title, array_to_string(list_sort(list_distinct(list_filter(list_transform(must_have_skills, lambda x: lower(trim(x, ' '))), lambda x: x IS NOT NULL AND x <> ''))), '|') AS skills FROM jd_criteria)
+SQL["canonical_list"] = f"""
+    WITH s AS (SELECT criteria_id, position_title, array_to_string(list_sort(list_distinct(list_filter(list_transform(must_have_skills, lambda x: lower({sql_trim('x')})), lambda x: x IS NOT NULL AND x <> ''))), '|') AS skills FROM jd_criteria)
     SELECT criteria_id, skills, substr(md5(concat_ws('|', lower(position_title), skills)), 1, 12) AS jd_hash FROM s
 """
 
@@ -151,12 +175,35 @@ SQL["file_names"] = """
 
 
 def joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wrapped lines joined pairwise. A fold over a document's lines, which SQL can't express."""
+    """Wrapped lines joined pairwise."""
     return _docs(spark, sf_dir).select("doc_id", T.joined_lines(F.col("text")).alias("out"))
 
 
+SQL["joined_lines"] = "SELECT doc_id, joined AS out FROM (" + _JOINED + ")"
+
+
+def preprocess_resume_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts composed, words and lines joined, one bullet sign, one space for any white space."""
+    composed = _docs(spark, sf_dir).select("doc_id", T.composed(F.col("text")).alias("text"))
+    return composed.select("doc_id", T.preprocessed_resume(F.col("text")).alias("out"))
+
+
+def cleaned_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines without garbled ordinals, bullets and spaces; those of contact data or without any word are left out."""
+    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "line"))
+    return E.cleaned(lines, "line").select("doc_id", "pos", "item")
+
+
+def resume_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each resume: its summary, notes and misc where there are any, else the raw text; and the same preprocessed."""
+    r = S.resumes(spark, sf_dir, "experience", "skills", "misc", "raw_text")
+    roles = F.array_join(F.transform("experience", lambda e: F.concat_ws(" ", e["title"], e["company"], F.array_join(e["bullets"], " "))), " ")
+    parts = (roles, F.array_join(F.transform("skills", lambda s: s["skill"]), " "), F.col("misc"))
+    return r.select("resume_id", F.md5(T.resume_text(F.col("raw_text"), *parts)).alias("text_md5"), F.md5(T.canonical_resume_text(*parts)).alias("canonical_md5"))
+
+
 def _column_queries() -> tuple:
-    return (chunk_words, line_frequency_filter, line_frequencies, line_fields, first_occurrence, canonical_list, file_names, joined_lines)
+    return (chunk_words, line_frequency_filter, line_frequencies, line_fields, first_occurrence, canonical_list, file_names, joined_lines, preprocess_resume_text, cleaned_items, resume_texts)
 
 
 QUERIES |= {f.__name__: f for f in _column_queries()}
