@@ -52,16 +52,3 @@ def three_sets(matched_required: Column, matched_nice: Column, missing: Column)
     nice = F.array_except(matched_nice, required)
     conflicts = F.size(F.array_intersect(required, missing)) + F.size(F.array_intersect(nice, missing)) + F.size(F.array_intersect(required, matched_nice))
     return F.struct(required.alias("required"), nice.alias("nice"), F.array_except(F.array_except(missing, required), nice).alias("missing"), conflicts.alias("conflicts"))
-
-
-def best_rule(sections: DataFrame, key: str, rules: DataFrame) -> DataFrame:
-    """(key, skill, section, bucket, score): for each skill its best rule match over a text's sections.
-
-    sections: key, section, weight, ord, text. rules: skill, bucket, confidence, pattern. A 'neg' match in a section silences the
-    skill there. The score is confidence times weight, at most 1; of equal scores the first section holds. The rules are a
-    small fixed list, the sections stay where they are: a broadcast of the rules, then one aggregation by (key, skill).
-    """
-    hits = sections.join(F.broadcast(rules), F.expr("regexp(text, pattern)"))
-    by_section = hits.groupBy(key, "skill", "section", "weight", "ord").agg(F.max(F.when(F.col("bucket") != "neg", F.struct("confidence", "bucket"))).alias("best"), F.bool_or(F.col("bucket") == "neg").alias("neg"))
-    live = by_section.filter(~F.col("neg") & F.col("best").isNotNull()).withColumn("score", F.round(F.least(F.lit(1.0), F.col("best.confidence") * F.col("weight")), 6))
-    return live.groupBy(key, "skill").agg(F.max_by(F.struct("section", "best.bucket", "score"), F.struct("score", -F.col("ord"))).alias("m")).select(key, "skill", "m.section", "m.bucket", "m.score")

@@ -2,44 +2,54 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Words that tell a level, from the lowest to the highest, and words of specializations.
+# Words that tell a level, from the lowest to the highest.
 LEVELS = {
-    "intern": "intern internship trainee apprentice",
-    "junior": "junior entry associate assistant new_grad recent_grad graduate",
-    "mid": "mid middle intermediate developer engineer analyst specialist",
-    "senior": "senior principal lead architect expert consultant",
-    "lead": "lead team_lead tech_lead manager head_of director",
-    "staff": "staff distinguished fellow chief vp vice_president",
+    "intern": ("intern", "internship", "trainee", "apprentice"),
+    "junior": ("junior", "entry", "associate", "assistant", "new grad", "recent grad", "graduate"),
+    "mid": ("mid", "middle", "intermediate", "developer", "engineer", "analyst", "specialist"),
+    "senior": ("senior", "principal", "lead", "architect", "expert", "consultant"),
+    "lead": ("lead", "team lead", "tech lead", "manager", "head of", "director"),
+    "staff": ("staff", "distinguished", "fellow", "chief", "vp", "vice president"),
 }
+# Words of specializations.
 SPECIALIZATIONS = {
-    "backend": "backend server api microservices database sql",
-    "frontend": "frontend ui ux web html css javascript interface",
-    "devops": "devops deployment kubernetes docker monitoring logging",
-    "data": "data analytics statistics sql reporting dashboard",
-    "mobile": "mobile ios android swift kotlin",
-    "security": "security threat risk compliance audit audited",
+    "backend": ("backend", "server", "api", "microservices", "database", "sql", "postgresql", "mysql", "mongodb", "redis", "node.js", "java", "python", "go", "rust", "c++"),
+    "frontend": ("frontend", "front-end", "ui", "ux", "user interface", "user experience", "web", "html", "css", "javascript", "typescript", "react", "angular", "vue", "svelte"),
+    "devops": ("devops", "dev-ops", "ci/cd", "deployment", "kubernetes", "docker", "aws", "azure", "gcp", "terraform", "ansible", "jenkins", "monitoring", "logging"),
+    "data": ("data", "analytics", "machine learning", "ml", "ai", "artificial intelligence", "statistics", "python", "r", "sql", "tableau", "power bi", "tensorflow", "pytorch", "scikit-learn"),
+    "mobile": ("mobile", "ios", "android", "swift", "kotlin", "flutter", "react native", "ionic"),
+    "security": ("security", "cybersecurity", "penetration", "vulnerability", "threat", "risk", "compliance"),
 }
-LEADERSHIP = "led managed mentored coached trained guided directed oversaw supervised coordinated facilitated team_of group_of department"
-RARE = "phd doctorate patent publication published research thesis dissertation conference speaker keynote award honor distinction excellence"
+# Words of leading, of rare qualifications, of technical depth in projects and in roles.
+LEADERSHIP = ("led", "managed", "mentored", "coached", "trained", "guided", "directed", "oversaw", "supervised", "coordinated", "facilitated", "team of", "group of", "department")
+RARE = ("phd", "doctorate", "patent", "publication", "published", "research", "thesis", "dissertation", "conference", "speaker", "keynote", "award", "honor", "distinction", "excellence")
+DEPTH_OF_PROJECTS = ("architecture", "scalable", "distributed", "microservices")
+DEPTH_OF_ROLES = ("architected", "designed", "implemented", "optimized")
 
 
-def pattern(words: str) -> str:
-    """A regular expression of whole words, ASCII, for lower-case text; _ stands for a space."""
-    return rf"(?:^|[^a-z0-9_])(?:{'|'.join(w.replace('_', ' ') for w in words.split())})(?:$|[^a-z0-9_])"
+def plain(words: Sequence[str]) -> tuple[list[str], list[str]]:
+    """Words of letters and digits, and those with spaces or signs, quoted for a regular expression."""
+    return [w for w in words if w.isalnum()], [re.sub(r"([.+])", r"\\\1", w) for w in words if not w.isalnum()]
 
 
-def hits(text: Column, words: str) -> Column:
-    """How many words of the text are among the words; phrases of two words are counted as well."""
+def pattern(words: Sequence[str]) -> str:
+    """A regular expression of whole words, ASCII, for lower-case text."""
+    single, other = plain(words)
+    return rf"(?:^|[^a-z0-9_])(?:{'|'.join([*single, *other])})(?:$|[^a-z0-9_])"
+
+
+def hits(text: Column, words: Sequence[str]) -> Column:
+    """How many words of the text are among the words; phrases and words with signs are counted as well."""
     low = F.lower(text)
-    single = "|".join(w for w in words.split() if "_" not in w)
-    double = "|".join(w.replace("_", "[^a-z0-9_]+") for w in words.split() if "_" in w)
-    n = F.regexp_count(low, F.lit(rf"(?<![a-z0-9_])(?:{single})(?![a-z0-9_])"))
-    return F.coalesce(n + F.regexp_count(low, F.lit(rf"(?<![a-z0-9_])(?:{double})(?![a-z0-9_])")) if double else n, F.lit(0))
+    single, other = plain(words)
+    count = lambda ws: F.regexp_count(low, F.lit(rf"(?<![a-z0-9_])(?:{'|'.join(ws)})(?![a-z0-9_])"))
+    return F.coalesce(count(single) + count(other) if other else count(single), F.lit(0))
 
 
 def first_of(counts: Mapping[str, Column]) -> Column:
@@ -109,5 +119,18 @@ def leadership(roles: DataFrame, key: str) -> DataFrame:
 
 def rare_qualifications(text: Column) -> Column:
     """The rare qualifications a text names, sorted."""
-    words: Sequence[str] = RARE.split()
+    words = RARE
     return F.sort_array(F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda w: w.isin(*words))))
+
+
+def technical_depth(projects: Column, bullets: Column) -> Column:
+    """high, moderate or basic, by projects with three technologies, projects and bullets that tell of design: four or more, two or more, fewer."""
+    told = lambda text, words: F.lower(text).rlike("|".join(words))
+    of_projects = F.aggregate(projects, F.lit(0), lambda n, p: n + F.when(F.size(p["technologies"]) >= 3, 1).otherwise(0) + F.when(told(p["summary"], DEPTH_OF_PROJECTS), 1).otherwise(0))
+    n = F.coalesce(of_projects, F.lit(0)) + F.coalesce(F.size(F.filter(bullets, lambda b: told(b, DEPTH_OF_ROLES))), F.lit(0))
+    return F.when(n >= 4, "high").when(n >= 2, "moderate").otherwise("basic")
+
+
+def career_stage(level: Column, trend: Column) -> Column:
+    """early, growing, established or mid, by the level and the trend of titles."""
+    return F.when(level.isin("intern", "junior"), "early").when((level == "mid") & (trend == "ascending"), "growing").when(level.isin("senior", "lead", "staff"), "established").otherwise("mid")

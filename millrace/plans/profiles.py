@@ -122,15 +122,26 @@ def column_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.join(mean, "page").filter("gap > 2 * mean").select("page", ((F.col("x") + F.col("next")) / 2).alias("boundary"), "gap")
 
 
-QUERIES = {f.__name__: f for f in (seniority, career_progression, specialization, leadership_team_size, rare_qualifications, technologies, evidence_ranked, evidence_quality, section_share, sections, grouped_items, value_statistics, column_boundaries)}
+def profile_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each resume its level, trend of titles, technical depth and stage of career."""
+    r = S.resumes(spark, sf_dir, "projects", "experience")
+    depth = P.technical_depth(F.col("projects"), F.flatten("experience.bullets"))
+    level = seniority(spark, sf_dir).select("resume_id", "level")
+    trend = P.progression(S.roles(spark, sf_dir), "resume_id").select("resume_id", "trend")
+    out = r.select("resume_id", depth.alias("technical_depth")).join(level, "resume_id").join(trend, "resume_id", "left").withColumn("trend", F.coalesce("trend", F.lit("stable")))
+    return out.withColumn("career_stage", P.career_stage(F.col("level"), F.col("trend")))
 
 
-def _hits(text: str, words: str) -> str:
-    single = ", ".join(f"'{w}'" for w in words.split() if "_" not in w)
-    double = ", ".join(f"'{w.replace('_', ' ')}'" for w in words.split() if "_" in w)
+QUERIES = {f.__name__: f for f in (seniority, career_progression, specialization, leadership_team_size, rare_qualifications, profile_context, technologies, evidence_ranked, evidence_quality, section_share, sections, grouped_items, value_statistics, column_boundaries)}
+
+
+def _hits(text: str, words) -> str:
+    single, other = P.plain(words)
     parts = f"string_split_regex(lower({text}), '[^a-z0-9_]+')"
-    out = f"len(list_filter({parts}, lambda w: w IN ({single})))"
-    return out + (f" + len(list_filter(list_transform({parts}, lambda w, i: concat_ws(' ', w, {parts}[i + 1])), lambda w: w IN ({double})))" if double else "")
+    out = f"len(list_filter({parts}, lambda w: w IN ({', '.join(map(repr, single))})))"
+    # signs between words doubled, so that each match has its own
+    doubled = f"regexp_replace(lower({text}), '([^a-z0-9_+./-])', '\\1\\1', 'g')"
+    return out + (f" + len(regexp_extract_all({doubled}, '(?:^|[^a-z0-9_])(?:{'|'.join(w.replace(' ', '  ') for w in other)})(?:$|[^a-z0-9_])'))" if other else "")
 
 
 def _first(names: list[str]) -> str:
@@ -145,7 +156,7 @@ _SP = ", ".join(f"{_hits('t', v)} AS c_{k}" for k, v in P.SPECIALIZATIONS.items(
 _SPN = [f"c_{k}" for k in P.SPECIALIZATIONS]
 _LEVEL = "CASE " + " ".join(f"WHEN regexp_matches(lower(title), '{P.pattern(w)}') THEN {i}" for i, w in enumerate(P.LEVELS.values())) + " END"
 _ROLES = f"{RESUME}, ro AS (SELECT resume_id, (unnest(range(1, len(p.experience) + 1)) - 1)::INT AS pos, unnest(p.experience) AS e FROM r), e AS (SELECT resume_id, pos, e.title AS title, e.bullets AS bullets FROM ro)"
-_RAREW = ", ".join(f"'{w}'" for w in P.RARE.split())
+_RAREW = ", ".join(f"'{w}'" for w in P.RARE)
 SQL = {
     "seniority": f"""
         WITH {RESUME}, t AS (SELECT resume_id, coalesce(len(p.experience), 0)::INT AS n, concat_ws(' ', array_to_string({_EXP.format(f="title")}, ' '), array_to_string({_EXP.format(f="company")}, ' '), array_to_string({_BUL}, ' '), array_to_string(list_transform(p.education, lambda x: x.degree), ' ')) AS t FROM r),
@@ -209,3 +220,10 @@ SQL = {
         SELECT page, (x + nx) / 2 AS boundary, gap FROM k QUALIFY gap > 2 * avg(gap) OVER (PARTITION BY page)
     """,
 }
+SQL["profile_context"] = f"""
+    WITH {RESUME}, s AS ({SQL["seniority"]}), c AS ({SQL["career_progression"]}),
+    d AS (SELECT resume_id, coalesce(list_sum(list_transform(p.projects, lambda x: (coalesce(len(x.technologies), 0) >= 3)::INT + coalesce(regexp_matches(lower(x.summary), '{"|".join(P.DEPTH_OF_PROJECTS)}'), false)::INT)), 0)
+        + coalesce(len(list_filter({_BUL}, lambda b: regexp_matches(lower(b), '{"|".join(P.DEPTH_OF_ROLES)}'))), 0) AS n FROM r),
+    a AS (SELECT resume_id, CASE WHEN n >= 4 THEN 'high' WHEN n >= 2 THEN 'moderate' ELSE 'basic' END AS technical_depth, level, coalesce(trend, 'stable') AS trend FROM d JOIN s USING (resume_id) LEFT JOIN c USING (resume_id))
+    SELECT *, CASE WHEN level IN ('intern', 'junior') THEN 'early' WHEN level = 'mid' AND trend = 'ascending' THEN 'growing' WHEN level IN ('senior', 'lead', 'staff') THEN 'established' ELSE 'mid' END AS career_stage FROM a
+"""

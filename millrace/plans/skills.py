@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import inference as I
 from ..operators import matching as M
 from ..operators import normalizing as N
 from ..sources import schemas as S
@@ -65,13 +66,8 @@ def skill_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "jd_criteria").select("criteria_id", sets.alias("s")).select("criteria_id", F.array_join("s.required", "|").alias("must"), F.array_join("s.nice", "|").alias("nice"), F.col("s.conflicts").alias("conflicts"))
 
 
-#: Rules of the inference query: skill, bucket, confidence, pattern (ASCII, on lower-case text).
-RULES = [
-    ("customer service", "explicit", 1.0, "customer callback"), ("customer service", "strong", 0.9, "claims inbox"), ("customer service", "weak", 0.7, "clients"),
-    ("reporting", "explicit", 1.0, "reporting mart"), ("reporting", "strong", 0.9, "dashboard"), ("reporting", "weak", 0.7, "figures"), ("reporting", "neg", 0.0, "parser for scanned forms"),
-    ("people management", "explicit", 1.0, "coached a team"), ("people management", "strong", 0.9, "team of [0-9]+"), ("people management", "weak", 0.7, "colleagues"),
-]
-WEIGHTS = [("skills", 1.0, 0), ("experience", 1.0, 1), ("projects", 0.95, 2), ("education", 0.75, 3), ("misc", 0.6, 4)]
+RULES = I.rules()
+WEIGHTS = [(section, weight, i) for i, (section, weight) in enumerate(I.SECTION_WEIGHTS.items())]
 
 
 def skill_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +78,7 @@ def skill_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
         "education": F.array_join(F.transform("education", lambda e: F.concat_ws(" ", e["degree"], e["school"])), " "), "misc": F.col("misc"),
     }
     sections = r.select("resume_id", F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.lit(w).alias("weight"), F.lit(o).alias("ord"), F.lower(texts[s]).alias("text")) for s, w, o in WEIGHTS])).alias("x")).select("resume_id", "x.*").filter("text <> ''")
-    return M.best_rule(sections, "resume_id", spark.createDataFrame(RULES, "skill string, bucket string, confidence double, pattern string"))
+    return I.inferred(sections, "resume_id", RULES)
 
 
 QUERIES = {f.__name__: f for f in (taxonomy_forms, skill_extract, skill_normalize, skill_normalize_as_typed, skill_gaps, skills_wanted_not_had, skill_sets, skill_inference)}

@@ -47,7 +47,7 @@ def test_fragments_and_items():
     assert S.joined_fragments(["1", "st", "and", "2", "nd", "place", "•", "won a prize", "Short", "goes on", "Ends."]) == ["1st and 2nd", "place", "● won a prize", "Short goes on", "Ends."]
     assert S.rebuilt_blocks(["3", "rd", "•", "Led", "a team", "- done", "A sent", "ence of words"])[:2] == ["3rd", "● Led a team"]
     assert S.items(["- One item", "goes on", "- Second item of two", "A New Line Of Text"]) == ["● One item goes on", "● Second item of two", "A New Line Of Text"]
-    assert S.cleaned_item("mail me: a@b.example") == "" and S.cleaned_item("●●●●") == "" and S.cleaned_item("the 2ndrd  place ( won )") == "the 2nd place (won)"
+    assert S.cleaned_item("mail me: a@b.example") == "" and S.cleaned_item("●●●●") == "" and S.cleaned_item("the 2ndth  place ( won )") == "the 2nd place (won)"
 
 
 def test_normalized_lines():
