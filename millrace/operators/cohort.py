@@ -24,23 +24,40 @@ def composite(semantic: Column, pair: Column, lexical: Column) -> Column:
     return F.round(0.5 * zero(semantic) + 0.3 * zero(pair) + 0.2 * zero(lexical), 9)
 
 
-def positions(scores: DataFrame, cohort: str, score: str, tolerance: float = 0.0005) -> DataFrame:
+def medians(scores: DataFrame, cohort: str, score: str, cells: int = 1000) -> DataFrame:
+    """(cohort, n, top, median): the exact median of each cohort, in two passes. First the scores are counted by cell of 1/1000 (combined before
+    the shuffle; scores of a range of 1 make at most 1,001 cells a cohort), which tells the cells of the middle ranks; then the values of
+    those cells alone are counted. No buffer or task holds a cohort."""
+    placed = scores.withColumn("_cell", F.floor(cells * F.col(score)))
+    counted = placed.groupBy(cohort, "_cell").agg(F.count("*").alias("_c"), F.max(score).alias("_max"))
+    whole, before = Window.partitionBy(cohort), Window.partitionBy(cohort).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumns({"n": F.sum("_c").over(whole), "top": F.max("_max").over(whole), "_before": F.coalesce(F.sum("_c").over(before), F.lit(0))})
+    counted = counted.withColumns({"_lo": F.floor((F.col("n") - 1) / 2), "_hi": F.floor(F.col("n") / 2)})
+    middle = counted.filter((F.col("_before") <= F.col("_hi")) & (F.col("_before") + F.col("_c") > F.col("_lo"))).drop("_c", "_max")
+    values = placed.join(middle, [cohort, "_cell"]).groupBy(cohort, "_cell", "n", "top", "_before", "_lo", "_hi", score).agg(F.count("*").alias("_c"))
+    end = F.col("_before") + F.sum("_c").over(Window.partitionBy(cohort, "_cell").orderBy(score))
+    at = lambda rank: F.min(F.when(F.col("_end") > F.col(rank), F.col(score)))
+    ends = values.withColumn("_end", end).groupBy(cohort, "n", "top").agg(at("_lo").alias("_a"), at("_hi").alias("_b"))
+    return ends.select(cohort, "n", "top", (F.col("_a") + (F.col("_b") - F.col("_a")) * 0.5).alias("median"))
+
+
+def positions(scores: DataFrame, cohort: str, score: str, tolerance: float = 0.0005, cells: int = 1000) -> DataFrame:
     """scores with mine (rounded to 0.1 %, halves up), rank, percentile, gap_from_top and above_median within the cohort.
 
-    rank is one more than the scores of the cohort that exceed mine by more than the tolerance. Mine and all scores fall on
-    a grid of the distinct values; these are counted once a cohort (a map-side combine), so that a cohort of many equal scores
-    is a short list to the window over it, and the result is joined back by value. Rows without a score take no part.
+    rank is one more than the scores of the cohort that exceed mine by more than the tolerance. Mine lies on a grid, and of a score
+    only the last grid point it exceeds so matters: scores are counted by that point (combined before the shuffle), so that
+    the window over a cohort has at most two rows a grid point, however many scores. Rows without a score or cohort take no part.
     """
-    s = scores.filter(F.col(score).isNotNull() & ~F.isnan(score)).withColumn("mine", F.floor(1000 * F.col(score) + 0.5) / 1000)
-    values = s.groupBy(cohort, score, "mine").agg(F.count("*").alias("_n"))
-    # both the values and the grid points on one axis: a value counts for the points below it by more than the tolerance
-    points = values.select(cohort, (F.col("mine") + tolerance).alias("_x"), F.lit(0).alias("_n"), F.lit(1).alias("_kind"), "mine").distinct()
-    axis = values.select(cohort, F.col(score).alias("_x"), F.col("_n").cast("long"), F.lit(0).alias("_kind"), F.lit(None).cast("double").alias("mine")).unionByName(points)
-    # at equal places the point comes first in descending order: a value equal to it doesn't exceed it
-    above = Window.partitionBy(cohort).orderBy(F.col("_x").desc(), F.col("_kind").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = axis.withColumn("rank", 1 + F.sum("_n").over(above)).filter("_kind = 1").select(cohort, "mine", "rank").groupBy(cohort, "mine").agg(F.max("rank").alias("rank"))
-    stats = s.groupBy(cohort).agg(F.count("*").alias("n"), F.max(score).alias("top"), F.percentile(score, 0.5).alias("median"))
-    out = s.join(ranks, [cohort, "mine"]).join(stats, cohort)
+    s = scores.filter(F.col(score).isNotNull() & ~F.isnan(score) & F.col(cohort).isNotNull()).withColumn("_k", F.floor(cells * F.col(score) + 0.5)).withColumn("mine", F.col("_k") / cells)
+    exceeds = lambda k: k / F.lit(cells) + tolerance < F.col(score)
+    k = F.floor(cells * F.col(score) - cells * tolerance) + 1
+    last = F.when(exceeds(k), k).when(exceeds(k - 1), k - 1).otherwise(k - 2)  # the division may be off by one
+    counts = s.groupBy(cohort, last.alias("_at")).agg(F.count("*").alias("_n"))
+    points = s.select(cohort, F.col("_k").alias("_at")).distinct()
+    axis = counts.withColumn("_point", F.lit(0)).unionByName(points.select(cohort, "_at", F.lit(0).cast("long").alias("_n"), F.lit(1).alias("_point")))
+    above = Window.partitionBy(cohort).orderBy(F.col("_at").desc(), "_point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranks = axis.withColumn("rank", 1 + F.sum("_n").over(above)).filter("_point = 1").select(cohort, F.col("_at").alias("_k"), "rank")
+    out = s.join(ranks, [cohort, "_k"]).join(medians(s, cohort, score), cohort).drop("_k")
     gap = F.greatest(F.lit(0.0), 100 * F.col("top") - 100 * F.col("mine"))
     return out.withColumns(
         {

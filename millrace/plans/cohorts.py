@@ -28,10 +28,13 @@ def cohort_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cohort_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each session: how many, lowest, highest, mean and median score, mean coverage, how many have matching skills."""
-    return (
-        _valid(_scores(spark, sf_dir)).groupBy("session_id")
-        .agg(F.count("*").alias("n"), F.min("final_pre_llm").alias("lowest"), F.max("final_pre_llm").alias("highest"), F.round(F.avg("final_pre_llm"), 9).alias("mean"), F.round(F.percentile("final_pre_llm", 0.5), 9).alias("median"), F.round(F.avg("coverage"), 9).alias("coverage"), F.count_if("has_match_skills").alias("n_match"))
+    s = _valid(_scores(spark, sf_dir))
+    told = (
+        s.groupBy("session_id")
+        .agg(F.count("*").alias("n"), F.min("final_pre_llm").alias("lowest"), F.max("final_pre_llm").alias("highest"), F.round(F.avg("final_pre_llm"), 12).alias("mean"), F.round(F.avg("coverage"), 12).alias("coverage"), F.count_if("has_match_skills").alias("n_match"))
     )
+    middle = C.medians(s.filter("session_id IS NOT NULL"), "session_id", "final_pre_llm").select(F.col("session_id").alias("_s"), F.round("median", 9).alias("median"))
+    return told.join(middle, F.col("session_id") == F.col("_s"), "left").drop("_s")
 
 
 def score_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +46,7 @@ def score_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interpolated_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The estimate of percentile and rank from median, top and size of the session."""
     s = _valid(_scores(spark, sf_dir)).select("score_id", "session_id", "final_pre_llm")
-    stats = s.groupBy("session_id").agg(F.count("*").alias("n"), F.max("final_pre_llm").alias("top"), F.percentile("final_pre_llm", 0.5).alias("median"))
+    stats = C.medians(s, "session_id", "final_pre_llm")
     e = C.interpolated(F.col("final_pre_llm"), F.col("median"), F.col("top"), F.col("n"))
     return s.join(stats, "session_id").select("score_id", e["percentile"].alias("percentile"), e["rank"].alias("rank"))
 
@@ -115,7 +118,7 @@ SQL = {
         SELECT score_id, m.session_id, mine, rank::BIGINT AS rank, round(100.0::DOUBLE * (n - rank + 1)::DOUBLE / n, 6) AS percentile, round(CASE WHEN greatest(0.0, 100 * top - 100 * mine) < 1e-6 THEN 0.0 ELSE greatest(0.0, 100 * top - 100 * mine) END, 6) AS gap_from_top, 100 * mine > 100 * median AS above_median
         FROM m JOIN rk USING (session_id, mine) JOIN st ON st.session_id = m.session_id
     """,
-    "cohort_summary": f"WITH {_S} SELECT session_id, count(*) AS n, min(final_pre_llm) AS lowest, max(final_pre_llm) AS highest, round(avg(final_pre_llm), 9) AS mean, round(quantile_cont(final_pre_llm, 0.5), 9) AS median, round(avg(coverage), 9) AS coverage, count(*) FILTER (has_match_skills) AS n_match FROM v GROUP BY session_id",
+    "cohort_summary": f"WITH {_S} SELECT session_id, count(*) AS n, min(final_pre_llm) AS lowest, max(final_pre_llm) AS highest, round(avg(final_pre_llm), 12) AS mean, round(quantile_cont(final_pre_llm, 0.5), 9) AS median, round(avg(coverage), 12) AS coverage, count(*) FILTER (has_match_skills) AS n_match FROM v GROUP BY session_id",
     "score_breakdown": f"""
         WITH {_S} SELECT score_id, CASE WHEN final_pre_llm >= 0.8 THEN 'excellent' WHEN final_pre_llm >= 0.6 THEN 'strong' WHEN final_pre_llm >= 0.4 THEN 'moderate' ELSE 'limited' END AS tier,
         CASE WHEN final_pre_llm >= 0.80 AND coalesce(coverage, 0) >= 0.70 THEN 'advance' WHEN final_pre_llm >= 0.55 AND coalesce(coverage, 0) >= 0.50 THEN 'consider' ELSE 'hold' END AS recommendation,
