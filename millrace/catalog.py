@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import cohorts, criteria, documents, extractions, narratives, packed, profiles, ranking, reviews, skills, texts
+from .plans import cohorts, criteria, documents, extractions, lists, narratives, packed, profiles, ranking, reviews, skills, texts
 
-MODULES = (cohorts, criteria, documents, extractions, narratives, packed, profiles, ranking, reviews, skills, texts)
+MODULES = (cohorts, criteria, documents, extractions, lists, narratives, packed, profiles, ranking, reviews, skills, texts)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 for _module in MODULES:

@@ -13,16 +13,37 @@ def words_for_matching(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(text), r"[^a-z0-9+#.-]+"), lambda w: F.regexp_replace(w, r"^[.-]+|[.-]+$", "")), lambda w: w != "")
 
 
-def extracted(docs: DataFrame, key: str, text: str, surfaces: DataFrame, most_words: int = 4) -> DataFrame:
-    """(key, skill_id, canonical): the skills whose surface form comes in the text as whole words, each once a text.
+def extracted(docs: DataFrame, key: str, text: str, surfaces: DataFrame, most_forms: int = 100_000) -> DataFrame:
+    """(key, skill_id, canonical): the skills whose surface form comes in the text as whole words, each once a text."""
+    return mentions(docs, key, text, surfaces, most_forms).select(key, "skill_id", "canonical").distinct()
 
-    Every run of up to most_words words is joined by equality with the forms: an equi-join on the form instead of trying each
-    form on each text. Runs are made distinct within the row first. Forms are made of words by the same rule.
+
+def mentions(docs: DataFrame, key: str, text: str, surfaces: DataFrame, most_forms: int = 100_000) -> DataFrame:
+    """(key, gram, skill_id, canonical): the surface forms that come in a text as whole words, a row each time.
+
+    Runs of words, up to as many as the longest form has, are joined by equality with the forms: an equi-join on the form instead of
+    trying each form on each text. Only runs whose first word starts a form are built, a hash lookup within the row, so that
+    few of them reach the join. Forms are made of words by the same rule; the list must be small, more than most_forms are refused.
     """
-    n_grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("_ws") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("_ws", i, n), " "))))
-    grams = docs.select(F.col(key), words_for_matching(F.col(text)).alias("_ws")).filter(F.size("_ws") > 0).select(key, F.explode(F.array_distinct(n_grams)).alias("_gram"))
-    forms = surfaces.select(F.array_join(words_for_matching(F.col("surface")), " ").alias("_gram"), "skill_id", "canonical")
-    return grams.join(forms, "_gram").select(key, "skill_id", "canonical").distinct()
+    forms = surfaces.select(F.array_join(words_for_matching(F.col("surface")), " ").alias("gram"), "skill_id", "canonical").filter("gram <> ''")
+    starts = forms.select(F.substring_index("gram", " ", 1).alias("w"), (F.length("gram") - F.length(F.replace("gram", F.lit(" "), F.lit(""))) + 1).alias("n")).groupBy("w").agg(F.max("n").alias("n")).limit(most_forms + 1).collect()
+    if len(starts) > most_forms:
+        raise ValueError(f"the taxonomy has more than {most_forms} first words")
+    if not starts:
+        return docs.select(key, F.lit("").alias("gram")).crossJoin(forms.select("skill_id", "canonical")).filter("false")
+    by_length: dict[int, list[str]] = {}
+    for w, n in starts:
+        by_length.setdefault(n, []).append(w)
+    longest = F.lit(0)
+    for n, ws in sorted(by_length.items()):
+        longest = F.when(F.col("_w.w").isin(ws), n).otherwise(longest)
+    words = docs.select(F.col(key), words_for_matching(F.col(text)).alias("_ws"))
+    known = [w for w, _ in starts]
+    opens = F.filter(F.transform("_ws", lambda w, i: F.when(w.isin(known), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
+    at = words.withColumn("_o", opens).filter(F.size("_o") > 0).select(key, "_ws", F.explode("_o").alias("_w")).withColumn("_n", longest)
+    runs = F.transform(F.sequence(F.lit(1), F.least(F.col("_n"), F.size("_ws") - F.col("_w.i"))), lambda n: F.array_join(F.slice("_ws", F.col("_w.i") + 1, n), " "))
+    grams = at.select(key, F.explode(runs).alias("gram"))
+    return grams.join(forms, "gram").select(key, "gram", "skill_id", "canonical")
 
 
 def normalized(values: DataFrame, value: str, surfaces: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ SQL = {
     "jd_titles": "WITH l AS (SELECT job_id, title, list_filter(list_transform(string_split_regex(description, '\\r\\n|\\n|\\r'), lambda x: trim(x, ' ')), lambda x: length(x) BETWEEN 4 AND 99) AS ls FROM job_postings) SELECT job_id, coalesce(nullif(trim(title, ' '), ''), ls[1]) AS title FROM l",
     "must_have_scoring": f"""
         WITH {_FORMS}, g AS (SELECT array_to_string({_W.format(c="surface")}, ' ') AS gram, canonical FROM f), d AS (SELECT job_id, description, {_W.format(c="description")} AS ws FROM job_postings WHERE description IS NOT NULL),
-        e AS (SELECT DISTINCT job_id, array_to_string(ws[i : i + n - 1], ' ') AS gram FROM d, unnest(range(1, len(ws) + 1)) AS a(i), (VALUES (1), (2), (3), (4)) AS b(n) WHERE i + n - 1 <= len(ws)),
+        e AS (SELECT DISTINCT job_id, array_to_string(ws[i : i + n - 1], ' ') AS gram FROM d, unnest(range(1, len(ws) + 1)) AS a(i), unnest(range(1, 1 + (SELECT max(len(string_split(gram, ' '))) FROM g))) AS b(n) WHERE i + n - 1 <= len(ws)),
         s AS (SELECT DISTINCT job_id, lower(canonical) AS surface FROM e JOIN g USING (gram)), p AS (SELECT job_id, surface, lower(description) AS low, string_split(lower(description), surface) AS parts FROM s JOIN job_postings USING (job_id)),
         q AS (SELECT job_id, surface, low, parts, len(parts) - 1 AS n, list_transform(range(1, len(parts)), lambda i: right(parts[i], 100) || ' ' || left(parts[i + 1], 50)) AS ar FROM p WHERE len(parts) > 1),
         r AS (SELECT job_id, surface, n::INT AS n, round((least(0.15::DOUBLE * n, 0.6) + 0.25 * len(list_filter(ar, lambda c: regexp_matches(c, '{R.MUST}'))) - 0.4 * len(list_filter(ar, lambda c: regexp_matches(c, '{R.NICE}'))) + CASE WHEN length(parts[1]) * 2 < length(low) THEN 0.15 ELSE 0 END)::DOUBLE, 6) AS score FROM q)

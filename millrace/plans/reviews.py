@@ -99,7 +99,7 @@ SQL = {
     "newest_sessions": "SELECT job_id, session_id, row_number() OVER (PARTITION BY job_id ORDER BY created_at DESC NULLS LAST, session_id)::INT AS pos FROM ranking_sessions WHERE job_id IS NOT NULL",
     "skill_context": f"""
         WITH {_FORMS}, g AS (SELECT array_to_string({_W.format(c="surface")}, ' ') AS gram, canonical FROM f), d AS (SELECT doc_id, {_W.format(c="text")} AS ws FROM documents WHERE text IS NOT NULL),
-        e AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + n - 1], ' ') AS gram FROM d, unnest(range(1, len(ws) + 1)) AS a(i), (VALUES (1), (2), (3), (4)) AS b(n) WHERE i + n - 1 <= len(ws)),
+        e AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + n - 1], ' ') AS gram FROM d, unnest(range(1, len(ws) + 1)) AS a(i), unnest(range(1, 1 + (SELECT max(len(string_split(gram, ' '))) FROM g))) AS b(n) WHERE i + n - 1 <= len(ws)),
         n AS (SELECT DISTINCT doc_id, lower(canonical) AS skill FROM e JOIN g USING (gram)), p AS (SELECT doc_id, skill, text, instr(lower(text), skill) AS mention FROM n JOIN documents USING (doc_id)),
         c AS (SELECT doc_id, skill, {_CTX} AS context FROM p WHERE mention > 0), w AS (SELECT *, list_filter(string_split(context, ' '), lambda x: x <> '') AS ws FROM c)
         SELECT doc_id, skill, context, CASE WHEN len(ws) <= 8 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[1:6], ' ') END AS quote FROM w

@@ -99,7 +99,7 @@ SQL = {
     "skill_extract": f"""
         WITH {_FORMS}, g AS (SELECT array_to_string({_W.format(c="surface")}, ' ') AS gram, skill_id, canonical FROM f),
         d AS (SELECT doc_id, {_W.format(c="text")} AS ws FROM documents WHERE text IS NOT NULL),
-        e AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + n - 1], ' ') AS gram FROM d, unnest(range(1, len(ws) + 1)) AS a(i), (VALUES (1), (2), (3), (4)) AS b(n) WHERE i + n - 1 <= len(ws))
+        e AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + n - 1], ' ') AS gram FROM d, unnest(range(1, len(ws) + 1)) AS a(i), unnest(range(1, 1 + (SELECT max(len(string_split(gram, ' '))) FROM g))) AS b(n) WHERE i + n - 1 <= len(ws))
         SELECT DISTINCT doc_id, skill_id, canonical FROM e JOIN g USING (gram)
     """,
     "skill_normalize": f"""
