@@ -23,7 +23,7 @@ def _sub(c: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(c, pattern, by)
 
 
-def _let(value: Column, of) -> Column:
+def let(value: Column, of) -> Column:
     """of(value), with the value computed once a row, however often `of` uses it."""
     return F.get(F.transform(F.array(value), of), F.lit(0))
 
@@ -112,7 +112,7 @@ def joined_lines(c: Column) -> Column:
     def joined(ls: Column, marks: Column) -> Column:  # T takes the next line, K is taken, in pairs from the left
         return F.array_join(F.transform(ls, lambda x, i: F.concat(F.when(i == 0, "").when(F.get(marks, i) == "K", " ").otherwise("\n"), x)), "")
 
-    return _let(lines(c), lambda ls: _let(F.split(F.regexp_replace(F.array_join(flags(ls), ""), "1[01]", "TK"), ""), lambda marks: joined(ls, marks)))
+    return let(lines(c), lambda ls: let(F.split(F.regexp_replace(F.array_join(flags(ls), ""), "1[01]", "TK"), ""), lambda marks: joined(ls, marks)))
 
 
 def word_chunks(c: Column, size: int = 393) -> Column:

@@ -145,7 +145,9 @@ def coherent(text: Column) -> Column:
 def cleaned(lines: DataFrame, column: str) -> DataFrame:
     """lines with item: the cleaned line; rows whose line is short contact data, or has nothing coherent left, are left out."""
     line = F.col(column)
-    kept = lines.filter(~(has_contact(line) & (F.length(line) < 100)))
+    item = line
     for step in (T.fixed_ordinals, T.fixed_bullets, T.fixed_spacing, T.without_nonsense):
-        kept = kept.withColumn("item", step(F.col("item") if "item" in kept.columns else line))
-    return kept.filter(coherent(F.col("item")))
+        item = step(item)
+    kept = lines.filter(~(has_contact(line) & (F.length(line) < 100)))
+    # exploded, so that the filter behind isn't pushed into the expression and makes it be computed again
+    return kept.select("*", F.explode(F.array(item)).alias("item")).filter(coherent(F.col("item")))

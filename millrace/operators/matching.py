@@ -40,7 +40,7 @@ def mentions(docs: DataFrame, key: str, text: str, surfaces: DataFrame, most_for
     words = docs.select(F.col(key), words_for_matching(F.col(text)).alias("_ws"))
     known = [w for w, _ in starts]
     opens = F.filter(F.transform("_ws", lambda w, i: F.when(w.isin(known), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
-    at = words.withColumn("_o", opens).filter(F.size("_o") > 0).select(key, "_ws", F.explode("_o").alias("_w")).withColumn("_n", longest)
+    at = words.select(key, "_ws", F.explode(opens).alias("_w")).withColumn("_n", longest)
     runs = F.transform(F.sequence(F.lit(1), F.least(F.col("_n"), F.size("_ws") - F.col("_w.i"))), lambda n: F.array_join(F.slice("_ws", F.col("_w.i") + 1, n), " "))
     grams = at.select(key, F.explode(runs).alias("gram"))
     return grams.join(forms, "gram").select(key, "gram", "skill_id", "canonical")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Words around a skill that make it a must or a mere wish.
-MUST = "must|required|requirement|essential|mandatory|solid grounding|working knowledge|experience"
-NICE = "nice to have|plus|optional|preferred|bonus|desirable"
-
+from ..functions import text as T
+from .criteria import REQUIRED, WISHED
 
 def jd_title(title: Column, text: Column) -> Column:
     """The title if given, else the text's first line of 4 to 99 characters."""
@@ -30,22 +28,33 @@ def labelled_title(title: Column, text: Column) -> Column:
 def must_have(skills: DataFrame, key: str, text: str, surface: str, most: int = 8) -> DataFrame:
     """(key, surface, n, score, pos): the skills a text requires, the best few.
 
-    skills holds a row for each skill named in a text, with the text. A score is 0.15 a mention up to 0.6, 0.25 for each mention
-    with a must-word in the 100 characters before or 50 after, less 0.4 for each with a wish-word there, and 0.15 if the first
-    mention lies in the first half. Scores above 0.3 are kept.
+    skills holds a row for each skill named in a text, with the text. A score is 0.15 a mention as a whole word up to 0.6, 0.25 for each
+    mention with a word of requiring in the 100 characters before or 50 behind, less 0.4 for each with one of wishing, and 0.15 if the
+    skill stands in the first half. Scores above 0.3 are kept; a skill named by a variant alone would have 0.3 at most.
     """
-    low = F.lower(F.col(text))
-    parts = F.split(low, F.concat(F.lit("\\Q"), F.col(surface), F.lit("\\E")), -1)
-    s = skills.withColumn("_parts", parts).withColumn("_n", F.size("_parts") - 1).filter("_n > 0")
-    around = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.concat(F.right(F.get("_parts", i), F.lit(100)), F.lit(" "), F.left(F.get("_parts", i + 1), F.lit(50))))
-    s = s.withColumn("_around", around)
-    count = lambda words: F.size(F.filter("_around", lambda c: c.rlike(words)))
-    first_half = F.length(F.get("_parts", F.lit(0))) * 2 < F.length(low)
-    score = F.round(F.least(0.15 * F.col("_n"), F.lit(0.6)) + 0.25 * count(MUST) - 0.4 * count(NICE) + F.when(first_half, 0.15).otherwise(0.0), 6)
-    from pyspark.sql import Window
-
+    word, low, skill = f"[{T.W}]", F.lower(F.col(text)), F.col(surface)
+    k = F.length(skill)
+
+    def contexts(parts: Column) -> Column:
+        """What stands around each mention whose neighbours are no word characters; parts is the text cut at the skill."""
+        before = lambda j: F.when((F.get(parts, j) == "") & (j > 0), F.right(skill, F.lit(1))).otherwise(F.right(F.get(parts, j), F.lit(1)))
+        behind = lambda j: F.when((F.get(parts, j + 1) == "") & (j + 2 < F.size(parts)), F.left(skill, F.lit(1))).otherwise(F.left(F.get(parts, j + 1), F.lit(1)))
+        whole = F.filter(F.sequence(F.lit(0), F.greatest(F.size(parts) - 2, F.lit(0))), lambda j: (F.size(parts) > 1) & ~before(j).rlike(word) & ~behind(j).rlike(word))
+        at = lambda j: F.aggregate(F.slice(parts, F.lit(1), j + 1), F.lit(0), lambda a, x: a + F.length(x)) + j * k
+        return F.transform(F.transform(whole, at), lambda p: F.substring(low, F.greatest(p - 100, F.lit(0)) + 1, F.least(p, F.lit(100)) + k + 50))
+
+    def told(around: Column) -> Column:
+        count = lambda words: F.size(F.filter(around, lambda c: c.rlike(words)))
+        first_half = F.left(low, F.floor(F.length(low) / 2).cast("int")).contains(skill)
+        score = F.round(F.least(0.15 * F.size(around), F.lit(0.6)) + 0.25 * count(REQUIRED) - 0.4 * count(WISHED) + F.when(first_half, 0.15).otherwise(0.0), 6)
+        return F.struct(F.size(around).alias("n"), score.alias("score"))
+
+    parts = F.split(low, F.concat(F.lit("\\Q"), skill, F.lit("\\E")), -1)
+    one = T.let(parts, lambda p: T.let(contexts(p), told))
+    # exploded, so that the filter behind isn't pushed into the expression and makes it be computed again
+    scored = skills.select(key, surface, F.explode(F.array(one)).alias("_t")).select(key, surface, "_t.n", "_t.score").filter("n > 0 AND score > 0.3")
     best = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col(surface))
-    return s.select(key, surface, F.col("_n").alias("n"), score.alias("score")).filter("score > 0.3").withColumn("pos", F.row_number().over(best)).filter(F.col("pos") <= most)
+    return scored.withColumn("pos", F.row_number().over(best)).filter(F.col("pos") <= most)
 
 
 def jd_text(title: Column, years: Column, must: Column, nice: Column, location: Column, summary: Column) -> Column:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import cohort as C
 from ..operators import matching as M
 from ..operators import narrate as N
+from ..operators import criteria as C4
 from ..operators import requirements as R
 from ..sources import schemas as S
 from .skills import _FORMS, _W
@@ -90,14 +92,16 @@ QUERIES = {f.__name__: f for f in (jd_titles, jd_titles_labelled, must_have_scor
 _WS = "[ \\t\\n\\x0B\\f\\r]"
 _SENT = "list_filter(list_transform(string_split(regexp_replace({c}, '([.!?])" + _WS + "+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '')"
 _CHOICES = ", ".join(f"'{t}'" for t in OPENINGS)
+_WORD = f"[{T.W}]"
 SQL = {
     "jd_titles": "WITH l AS (SELECT job_id, title, list_filter(list_transform(string_split_regex(description, '\\r\\n|\\n|\\r'), lambda x: trim(x, ' ')), lambda x: length(x) BETWEEN 4 AND 99) AS ls FROM job_postings) SELECT job_id, coalesce(nullif(trim(title, ' '), ''), ls[1]) AS title FROM l",
     "must_have_scoring": f"""
         WITH {_FORMS}, g AS (SELECT array_to_string({_W.format(c="surface")}, ' ') AS gram, canonical FROM f), d AS (SELECT job_id, description, {_W.format(c="description")} AS ws FROM job_postings WHERE description IS NOT NULL),
         e AS (SELECT DISTINCT job_id, array_to_string(ws[i : i + n - 1], ' ') AS gram FROM d, unnest(range(1, len(ws) + 1)) AS a(i), unnest(range(1, 1 + (SELECT max(len(string_split(gram, ' '))) FROM g))) AS b(n) WHERE i + n - 1 <= len(ws)),
-        s AS (SELECT DISTINCT job_id, lower(canonical) AS surface FROM e JOIN g USING (gram)), p AS (SELECT job_id, surface, lower(description) AS low, string_split(lower(description), surface) AS parts FROM s JOIN job_postings USING (job_id)),
-        q AS (SELECT job_id, surface, low, parts, len(parts) - 1 AS n, list_transform(range(1, len(parts)), lambda i: right(parts[i], 100) || ' ' || left(parts[i + 1], 50)) AS ar FROM p WHERE len(parts) > 1),
-        r AS (SELECT job_id, surface, n::INT AS n, round((least(0.15::DOUBLE * n, 0.6) + 0.25 * len(list_filter(ar, lambda c: regexp_matches(c, '{R.MUST}'))) - 0.4 * len(list_filter(ar, lambda c: regexp_matches(c, '{R.NICE}'))) + CASE WHEN length(parts[1]) * 2 < length(low) THEN 0.15 ELSE 0 END)::DOUBLE, 6) AS score FROM q)
+        s AS (SELECT DISTINCT job_id, lower(canonical) AS surface FROM e JOIN g USING (gram)), p AS (SELECT job_id, surface, length(surface) AS k, lower(description) AS low, string_split(lower(description), surface) AS parts FROM s JOIN job_postings USING (job_id)),
+        o AS (SELECT *, list_filter(range(1, len(parts)), lambda j: NOT regexp_matches(CASE WHEN parts[j] = '' AND j > 1 THEN right(surface, 1) ELSE right(parts[j], 1) END, '{_WORD}') AND NOT regexp_matches(CASE WHEN parts[j + 1] = '' AND j + 1 < len(parts) THEN left(surface, 1) ELSE left(parts[j + 1], 1) END, '{_WORD}')) AS js FROM p WHERE len(parts) > 1),
+        q AS (SELECT *, len(js) AS n, list_transform(list_transform(js, lambda j: list_sum(list_transform(parts[1:j], lambda x: length(x))) + (j - 1) * k), lambda a: substr(low, (greatest(a - 100, 0) + 1)::BIGINT, (least(a, 100) + k + 50)::BIGINT)) AS ar FROM o WHERE len(js) > 0),
+        r AS (SELECT job_id, surface, n::INT AS n, round((least(0.15::DOUBLE * n, 0.6) + 0.25 * len(list_filter(ar, lambda c: regexp_matches(c, '{C4.REQUIRED}'))) - 0.4 * len(list_filter(ar, lambda c: regexp_matches(c, '{C4.WISHED}'))) + CASE WHEN contains(left(low, length(low) // 2), surface) THEN 0.15 ELSE 0 END)::DOUBLE, 6) AS score FROM q)
         SELECT job_id, surface, n, score, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, surface)::INT AS pos FROM r WHERE score > 0.3 QUALIFY pos <= 8
     """,
     "jd_texts": """
