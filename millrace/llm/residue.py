@@ -318,8 +318,8 @@ def residue(documents: DataFrame, key: str = "doc_id", text: str = "text", salts
     told = pages.select(key, F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("salt"), F.explode("templates").alias("template")).join(kinds, ["template", "salt"])
     page = F.when(F.bool_or(F.col("kind") == "content"), None).when(F.bool_or(F.col("kind") == "error"), "error").when(F.bool_or(F.col("kind") == "script"), "script").when(F.bool_or(F.col("kind") == "filler"), "filler")
     judged = told.groupBy(key).agg(page.alias("kind"), F.min(F.when(F.col("kind").isin("error", "script", "filler"), F.col("template"))).alias("evidence")).filter("kind IS NOT NULL")
-    slots = parsed.filter("slot IS NOT NULL").select(key, F.lit("slot").alias("kind"), F.col("slot").alias("evidence"))
-    return judged.unionByName(slots.join(judged, key, "left_anti"))
+    both = parsed.select(key, "slot").join(judged, key, "left").filter("kind IS NOT NULL OR slot IS NOT NULL")
+    return both.select(key, F.coalesce("kind", F.lit("slot")).alias("kind"), F.coalesce("evidence", "slot").alias("evidence"))
 
 
 def without_residue(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
