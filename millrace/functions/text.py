@@ -211,3 +211,29 @@ def overlap(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays as sets; 0 if both are empty."""
     both = F.size(F.array_union(a, b))
     return F.when(both > 0, F.size(F.array_intersect(a, b)) / both).otherwise(F.lit(0.0))
+
+
+# Words that a context doesn't start or end with.
+LOOSE = ("and", "with", "using", "via", "through")
+
+
+def context_of(text: Column, at: Column, n: Column, chars: int = 80) -> Column:
+    """What stands around the n characters of a text from position `at` (0-based): up to 80 on each side, from the last full stop before to the first
+    behind where there are some, without loose words at the ends; of over 80 in all, three words on each side of the place."""
+    start = F.when(at - chars < 19, F.lit(0)).otherwise(at - chars)
+    before, held, behind = F.substring(text, start + 1, at - start), F.substring(text, at + 1, n), F.substring(text, at + n + 1, F.lit(chars))
+    whole = F.concat(F.regexp_extract(before, "[^.]*$", 0), held, F.regexp_extract(behind, r"^[^.]*\.?", 0))
+    ends = F.regexp_replace(trimmed(whole), "^[.,;:]+|[.,;:]+$", "")
+    first = F.regexp_replace(ends, "^(?i:" + "".join(f"(?:{w} )?" for w in LOOSE) + ")", "")
+    bare = F.regexp_replace(first, "(?i:" + "".join(f"(?: {w})?" for w in reversed(LOOSE)) + ")$", "")
+
+    def cut(c: Column, ws: Column, own: Column) -> Column:
+        k = F.size(own)
+        place = F.get(F.filter(F.sequence(F.lit(1), F.greatest(F.size(ws) - k + 1, F.lit(1))), lambda i: F.slice(ws, i, k) == own), F.lit(0))
+        first = F.greatest(place - 3, F.lit(1))
+        near = F.array_join(F.slice(ws, first, F.least(place + k + 2, F.size(ws)) - first + 1), " ")
+        middle = F.array_join(F.slice(ws, F.floor(F.size(ws) / 2).cast("int") - 3, F.lit(8)), " ")
+        return F.when(F.length(c) <= chars, c).when(place.isNotNull(), near).when(F.size(ws) > 12, middle).otherwise(c)
+
+    words = lambda c: F.filter(F.split(c, f"[{WS}]+"), lambda x: x != "")
+    return let(bare, lambda c: let(words(c), lambda ws: let(words(held), lambda own: cut(c, ws, own))))

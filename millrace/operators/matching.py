@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +51,56 @@ def mentions(docs: DataFrame, key: str, text: str, surfaces: DataFrame, most_for
     return grams.join(forms, "gram").select(key, "gram", "skill_id", "canonical")
 
 
+_WORD_SIGNS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+#")
+
+
+@lru_cache(maxsize=100_000)
+def _behind(gram: str) -> re.Pattern:
+    """What a text holds from a form's first word on: its words, what parts them, and an end that is no word."""
+    words = "[.-]*[^a-z0-9+#.-]+[.-]*".join(map(re.escape, gram.split(" ")))
+    return re.compile(rf"({words})[.-]*(?![a-z0-9+#.-])")
+
+
+def place(low: str, gram: str) -> tuple[int, int] | None:
+    """(place, length) of a form's words where they first come in a lower-case text as whole words."""
+    first, at = gram.split(" ", 1)[0], -1
+    while (at := low.find(first, at + 1)) >= 0:
+        before = at
+        while before and low[before - 1] in ".-":
+            before -= 1
+        if (not before or low[before - 1] not in _WORD_SIGNS) and (m := _behind(gram).match(low, at)):
+            return at, m.end(1) - at
+    return None
+
+
+def first_places(docs: DataFrame, key: str, text: str, surfaces: DataFrame, margin: int = 100) -> DataFrame:
+    """(key, skill, at, n, text): where each skill is first named in a text, by any of its forms: the `margin` characters on each side of it, and
+    the 0-based place and length of the form in them. A document meets all its forms in one row (at most as many as are listed), so
+    that its text is read once for each by a plain search; Spark has no search from a place on."""
+    named = mentions(docs.select(key, text), key, text, surfaces).groupBy(key).agg(F.collect_set(F.struct(F.lower("canonical").alias("skill"), "gram")).alias("_forms"))
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, rows = [], []
+            for i, (t, forms) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                low, best = t.lower(), {}
+                for f in forms:
+                    if (spot := place(low, f["gram"])) and spot < best.get(f["skill"], (len(low) + 1, 0)):
+                        best[f["skill"]] = spot
+                for skill, (p, n) in sorted(best.items()):
+                    start = max(0, p - margin)
+                    at.append(i)
+                    rows.append((skill, p - start, n, t[start : p + n + margin]))
+            cols = [pa.array([r[c] for r in rows], k) for c, k in enumerate((pa.string(), pa.int32(), pa.int32(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *cols], [key, "skill", "at", "n", "text"])
+
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # much work on few bytes: not to be coalesced by size
+    met = docs.select(key, text).repartition(parts, key).join(named, key).select(key, text, "_forms")
+    return met.mapInArrow(run, f"`{key}` {kind}, skill string, at int, n int, text string")
+
+
 def normalized(values: DataFrame, value: str, surfaces: DataFrame) -> DataFrame:
     """values with skill_id, canonical, confidence: an equal form (1.0); else the longest form of three characters or more that
     the value contains and that is at least half as long (0.8); else none (0.0). Distinct values are matched once."""

@@ -17,7 +17,7 @@ from .narratives import SQL as _NARRATIVES
 from .profiles import SQL as _PROFILES
 from .profiles import evidence_ranked
 from .skills import _FORMS, _W
-from .texts import sql_lines
+from .texts import sql_lines, sql_trim
 
 
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,13 +35,10 @@ def newest_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skill_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What stands around the first mention of each skill in each document: up to 80 characters before and behind, and a short quote."""
-    docs = S.table(spark, sf_dir, "documents").select("doc_id", "text")
-    named = M.extracted(docs, "doc_id", "text", S.taxonomy(spark, sf_dir)).select("doc_id", F.lower("canonical").alias("skill")).distinct().join(docs, "doc_id")
-    at = F.instr(F.lower("text"), F.col("skill"))
-    cut = F.substring("text", F.greatest(at - 80, F.lit(1)), F.length("skill") + F.least(at - 1, F.lit(80)) + 80)
-    context = F.trim(F.regexp_replace(cut, r"\s+", " "))
-    return named.filter(at > 0).select("doc_id", "skill", context.alias("context"), T.quote_of(context).alias("quote"))
+    """What stands around the first mention of each skill in each document, by whatever form it is named, and a short quote of it."""
+    placed = M.first_places(S.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", S.taxonomy(spark, sf_dir))
+    context = placed.select("doc_id", "skill", F.explode(F.array(T.context_of(F.col("text"), F.col("at"), F.col("n")))).alias("context"))
+    return context.select("doc_id", "skill", "context", T.quote_of(F.col("context")).alias("quote"))
 
 
 def posting_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +86,10 @@ def valid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (batch_summary, newest_sessions, skill_context, posting_sections, text_blocks, evidence_counts, sentence_provenance, skill_phrase_fallback, valid_scores)}
 
-_CTX = "trim(regexp_replace(substr(text, greatest(mention - 80, 1)::BIGINT, (length(skill) + least(mention - 1, 80) + 80)::BIGINT), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ')"
+# the steps of a context in the other dialect, one table behind the other
+_PLACE = "'(?s)^(.*?(?:^|[^a-z0-9+#.-])[.-]*)(' || replace(regexp_replace(gram, '([.+])', '\\\\\\1', 'g'), ' ', '[.-]*[^a-z0-9+#.-]+[.-]*') || ')[.-]*(?:$|[^a-z0-9+#.-])'"
+_WSP = "[ \\t\\n\\x0B\\f\\r]"
+_LOOSE_FIRST, _LOOSE_LAST = "".join(f"(?:{w} )?" for w in T.LOOSE), "".join(f"(?: {w})?" for w in reversed(T.LOOSE))
 SQL = {
     "batch_summary": f"""
         WITH {_S}, {_TOP}, b AS (SELECT session_id, string_agg(coalesce(candidate_id, '?'), ', ' ORDER BY position) AS best FROM t GROUP BY session_id),
@@ -100,8 +100,17 @@ SQL = {
     "skill_context": f"""
         WITH {_FORMS}, g AS (SELECT array_to_string({_W.format(c="surface")}, ' ') AS gram, canonical FROM f), d AS (SELECT doc_id, {_W.format(c="text")} AS ws FROM documents WHERE text IS NOT NULL),
         e AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + n - 1], ' ') AS gram FROM d, unnest(range(1, len(ws) + 1)) AS a(i), unnest(range(1, 1 + (SELECT max(len(string_split(gram, ' '))) FROM g))) AS b(n) WHERE i + n - 1 <= len(ws)),
-        n AS (SELECT DISTINCT doc_id, lower(canonical) AS skill FROM e JOIN g USING (gram)), p AS (SELECT doc_id, skill, text, instr(lower(text), skill) AS mention FROM n JOIN documents USING (doc_id)),
-        c AS (SELECT doc_id, skill, {_CTX} AS context FROM p WHERE mention > 0), w AS (SELECT *, list_filter(string_split(context, ' '), lambda x: x <> '') AS ws FROM c)
+        n AS (SELECT DISTINCT doc_id, lower(canonical) AS skill, gram FROM e JOIN g USING (gram)),
+        p AS (SELECT doc_id, skill, text, length(regexp_extract(lower(text), {_PLACE}, 1)) AS pl, length(regexp_extract(lower(text), {_PLACE}, 2)) AS n FROM n JOIN documents USING (doc_id)),
+        f1 AS (SELECT * FROM p WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, skill ORDER BY pl, n) = 1),
+        f2 AS (SELECT *, CASE WHEN pl - 80 < 19 THEN 0 ELSE pl - 80 END AS a0, substr(text, pl + 1, n) AS held FROM f1),
+        f3 AS (SELECT *, regexp_extract(substr(text, a0 + 1, pl - a0), '[^.]*$', 0) || held || regexp_extract(substr(text, pl + n + 1, 80), '^[^.]*\\.?', 0) AS w0 FROM f2),
+        f4 AS (SELECT *, regexp_replace({sql_trim("w0")}, '^[.,;:]+|[.,;:]+$', '', 'g') AS w1 FROM f3),
+        f5 AS (SELECT *, regexp_replace(regexp_replace(w1, '^(?i:{_LOOSE_FIRST})', ''), '(?i:{_LOOSE_LAST})$', '') AS c FROM f4),
+        f6 AS (SELECT *, list_filter(string_split_regex(c, '[{T.WS}]+'), lambda x: x <> '') AS ws, list_filter(string_split_regex(held, '[{T.WS}]+'), lambda x: x <> '') AS own FROM f5),
+        f7 AS (SELECT *, list_filter(range(1, greatest(len(ws) - len(own) + 1, 1) + 1), lambda i: ws[i : i + len(own) - 1] = own)[1] AS i FROM f6),
+        f8 AS (SELECT doc_id, skill, CASE WHEN length(c) <= 80 THEN c WHEN i IS NOT NULL THEN array_to_string(ws[greatest(i - 3, 1) : i + len(own) + 2], ' ') WHEN len(ws) > 12 THEN array_to_string(ws[len(ws) // 2 - 3 : len(ws) // 2 + 4], ' ') ELSE c END AS context FROM f7),
+        w AS (SELECT *, list_filter(string_split_regex(trim(context, ' '), '{_WSP}+'), lambda x: x <> '') AS ws FROM f8)
         SELECT doc_id, skill, context, CASE WHEN len(ws) <= 8 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[1:6], ' ') END AS quote FROM w
     """,
     "posting_sections": f"""
