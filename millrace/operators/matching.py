@@ -57,7 +57,7 @@ _WORD_SIGNS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+#")
 @lru_cache(maxsize=100_000)
 def _behind(gram: str) -> re.Pattern:
     """What a text holds from a form's first word on: its words, what parts them, and an end that is no word."""
-    words = "[.-]*[^a-z0-9+#.-]+[.-]*".join(map(re.escape, gram.split(" ")))
+    words = "[.-]*[^a-z0-9+#.-][^a-z0-9+#]*".join(map(re.escape, gram.split(" ")))
     return re.compile(rf"({words})[.-]*(?![a-z0-9+#.-])")
 
 

@@ -87,7 +87,7 @@ def valid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (batch_summary, newest_sessions, skill_context, posting_sections, text_blocks, evidence_counts, sentence_provenance, skill_phrase_fallback, valid_scores)}
 
 # the steps of a context in the other dialect, one table behind the other
-_PLACE = "'(?s)^(.*?(?:^|[^a-z0-9+#.-])[.-]*)(' || replace(regexp_replace(gram, '([.+])', '\\\\\\1', 'g'), ' ', '[.-]*[^a-z0-9+#.-]+[.-]*') || ')[.-]*(?:$|[^a-z0-9+#.-])'"
+_PLACE = "'(?s)^(.*?(?:^|[^a-z0-9+#.-])[.-]*)(' || replace(regexp_replace(gram, '([.+])', '\\\\\\1', 'g'), ' ', '[.-]*[^a-z0-9+#.-][^a-z0-9+#]*') || ')[.-]*(?:$|[^a-z0-9+#.-])'"
 _WSP = "[ \\t\\n\\x0B\\f\\r]"
 _LOOSE_FIRST, _LOOSE_LAST = "".join(f"(?:{w} )?" for w in T.LOOSE), "".join(f"(?: {w})?" for w in reversed(T.LOOSE))
 SQL = {
