@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread_work
+
 SPACES = r"[ \t\n\x0B\f\r]+"
 
 
@@ -95,9 +97,7 @@ def first_places(docs: DataFrame, key: str, text: str, surfaces: DataFrame, marg
             cols = [pa.array([r[c] for r in rows], k) for c, k in enumerate((pa.string(), pa.int32(), pa.int32(), pa.string()))]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *cols], [key, "skill", "at", "n", "text"])
 
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # much work on few bytes: not to be coalesced by size
-    met = docs.select(key, text).repartition(parts, key).join(named, key).select(key, text, "_forms")
+    met = spread_work(docs.select(key, text), key).join(named, key).select(key, text, "_forms")
     return met.mapInArrow(run, f"`{key}` {kind}, skill string, at int, n int, text string")
 
 

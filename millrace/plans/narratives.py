@@ -11,6 +11,7 @@ from ..operators import matching as M
 from ..operators import narrate as N
 from ..operators import criteria as C4
 from ..operators import requirements as R
+from ..session import spread_work
 from ..sources import schemas as S
 from .skills import _FORMS, _W
 
@@ -31,7 +32,7 @@ def must_have_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The skills each posting's text requires, by mentions and what stands around them."""
     jobs = S.table(spark, sf_dir, "job_postings").select("job_id", "description")
     named = M.extracted(jobs, "job_id", "description", S.taxonomy(spark, sf_dir)).select("job_id", F.lower("canonical").alias("surface")).distinct()
-    return R.must_have(named.join(jobs, "job_id"), "job_id", "description", "surface")
+    return R.must_have(spread_work(named.join(jobs, "job_id")), "job_id", "description", "surface")
 
 
 def jd_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

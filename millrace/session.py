@@ -52,3 +52,11 @@ def spread(df: DataFrame) -> DataFrame:
     splits are moved; a larger one stays as it is read, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def spread_work(df: DataFrame, *keys: str) -> DataFrame:
+    """df in as many partitions as a shuffle has, or more if there are more cores: for much work on few bytes, which adaptive execution would
+    put into few tasks by their size."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *keys)
