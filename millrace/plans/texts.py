@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import extraction as E
 from ..sources import schemas as S
+from .skills import RESUME
 from ..session import spread
 
 QUERIES: dict = {}
@@ -207,3 +208,17 @@ def _column_queries() -> tuple:
 
 
 QUERIES |= {f.__name__: f for f in _column_queries()}
+
+
+def _resume_texts_sql() -> str:
+    none = "''"
+    parts = [
+        "array_to_string(list_transform(p.experience, lambda e: concat_ws(' ', e.title, e.company, array_to_string(e.bullets, ' '))), ' ')",
+        "array_to_string(list_transform(p.skills, lambda e: e.skill), ' ')", "p.misc",
+    ]
+    joined = f"coalesce(nullif(concat_ws(' ', {', '.join(f'nullif({sql_trim(c)}, {none})' for c in parts)}), ''), p.raw_text)"
+    canonical = sql_trim(sql_steps(sql_trim(f"lower(concat_ws(' ' || chr(10) || ' ', {', '.join(f'nullif({c}, {none})' for c in parts)}))"), T.PREPROCESSED))
+    return f"WITH {RESUME} SELECT resume_id, md5({joined}) AS text_md5, md5({canonical}) AS canonical_md5 FROM r"
+
+
+SQL["resume_texts"] = _resume_texts_sql()
