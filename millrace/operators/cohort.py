@@ -24,6 +24,13 @@ def composite(semantic: Column, pair: Column, lexical: Column) -> Column:
     return F.round(0.5 * zero(semantic) + 0.3 * zero(pair) + 0.2 * zero(lexical), 9)
 
 
+def contributions(semantic: Column, pair: Column, lexical: Column) -> Column:
+    """struct(semantic, pair, lexical, signal): what each part adds to the weighted score, and whether that is strong (0.7), moderate (0.4) or weak."""
+    zero = lambda c, w: F.round(w * F.coalesce(c, F.lit(0.0)), 9)
+    total = composite(semantic, pair, lexical)
+    return F.struct(zero(semantic, 0.5).alias("semantic"), zero(pair, 0.3).alias("pair"), zero(lexical, 0.2).alias("lexical"), F.when(total >= 0.7, "strong").when(total >= 0.4, "moderate").otherwise("weak").alias("signal"))
+
+
 def medians(scores: DataFrame, cohort: str, score: str, cells: int = 1000) -> DataFrame:
     """(cohort, n, top, median): the exact median of each cohort, in two passes. First the scores are counted by cell of 1/1000 (combined before
     the shuffle; scores of a range of 1 make at most 1,001 cells a cohort), which tells the cells of the middle ranks; then the values of

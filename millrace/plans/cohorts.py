@@ -43,6 +43,12 @@ def score_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("score_id", C.tier(F.col("final_pre_llm")).alias("tier"), C.recommendation(F.col("final_pre_llm"), F.coalesce("coverage", F.lit(0.0))).alias("recommendation"), C.composite(F.col("semantic_score"), F.col("final_pre_llm"), F.col("coverage")).alias("composite"))
 
 
+def score_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What semantic score, final score (for a pair scorer) and coverage add to each composite score, and its strength."""
+    s = _valid(_scores(spark, sf_dir))
+    return s.select("score_id", C.contributions(F.col("semantic_score"), F.col("final_pre_llm"), F.col("coverage")).alias("c")).select("score_id", "c.*")
+
+
 def interpolated_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The estimate of percentile and rank from median, top and size of the session."""
     s = _valid(_scores(spark, sf_dir)).select("score_id", "session_id", "final_pre_llm")
@@ -105,7 +111,7 @@ def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("p.k").alias("k"), F.count_if(F.col("p.k").isNull()).alias("n_empty"))
 
 
-QUERIES = {f.__name__: f for f in (cohort_position, cohort_summary, score_breakdown, interpolated_percentile, minmax_norm, shortlist, pairwise_compare, export_flat_csv, session_status, task_ttl_filter, event_props)}
+QUERIES = {f.__name__: f for f in (cohort_position, cohort_summary, score_breakdown, score_contributions, interpolated_percentile, minmax_norm, shortlist, pairwise_compare, export_flat_csv, session_status, task_ttl_filter, event_props)}
 
 _S = "s AS (SELECT DISTINCT score_id, session_id, candidate_id, semantic_score, coverage, has_match_skills, matched_required_skills, final_pre_llm FROM resume_scores), v AS (SELECT * FROM s WHERE final_pre_llm IS NOT NULL AND NOT isnan(final_pre_llm))"
 _TOP = "t AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY final_pre_llm DESC, candidate_id ASC NULLS FIRST, score_id)::INT AS position FROM v WHERE session_id IS NOT NULL QUALIFY position <= 3)"
@@ -124,6 +130,11 @@ SQL = {
         CASE WHEN final_pre_llm >= 0.80 AND coalesce(coverage, 0) >= 0.70 THEN 'advance' WHEN final_pre_llm >= 0.55 AND coalesce(coverage, 0) >= 0.50 THEN 'consider' ELSE 'hold' END AS recommendation,
         round(0.5::DOUBLE * coalesce(semantic_score, 0) + 0.3::DOUBLE * final_pre_llm + 0.2::DOUBLE * coalesce(coverage, 0), 9) AS composite FROM v
     """,
+    "score_contributions": f"""
+        WITH {_S}, p AS (SELECT score_id, coalesce(semantic_score, 0) AS a, final_pre_llm AS b, coalesce(coverage, 0) AS c FROM v)
+        SELECT score_id, round(0.5::DOUBLE * a, 9) AS semantic, round(0.3::DOUBLE * b, 9) AS pair, round(0.2::DOUBLE * c, 9) AS lexical,
+        CASE WHEN round(0.5::DOUBLE * a + 0.3::DOUBLE * b + 0.2::DOUBLE * c, 9) >= 0.7 THEN 'strong' WHEN round(0.5::DOUBLE * a + 0.3::DOUBLE * b + 0.2::DOUBLE * c, 9) >= 0.4 THEN 'moderate' ELSE 'weak' END AS signal FROM p
+    """,
     "interpolated_percentile": f"""
         WITH {_S}, st AS (SELECT session_id, count(*) AS n, max(final_pre_llm) AS top, quantile_cont(final_pre_llm, 0.5) AS median FROM v GROUP BY session_id),
         p AS (SELECT score_id, n, round(coalesce(CASE WHEN final_pre_llm >= top THEN 100.0 WHEN median = 0 THEN 50.0 WHEN final_pre_llm >= median THEN 50 + 50 * (final_pre_llm - median) / nullif(top - median, 0) ELSE 50 * final_pre_llm / median END, 50.0)::DOUBLE, 6) AS percentile FROM v JOIN st USING (session_id))
